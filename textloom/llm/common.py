@@ -132,8 +132,12 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, off)
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each text and the end)."""
+ASCII_LOWER = np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], np.uint8)
+
+
+def words_of(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each text and the end); with `lower`, ASCII letters count as lower-case."""
     raw, off = text_bytes(column)
+    raw = ASCII_LOWER[raw] if lower else raw
     start, end, first = word_spans(raw, off)
     return span_hashes(BYTE_CODE[raw], start, end), first

@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm import mixing
 from textloom.llm.bagminhash import op4_minhash_near_dedup
+from textloom.llm.mixing import op8_poisson_mixing
+from textloom.llm.ogg import op10_media_ogg
+from textloom.llm.packing import op7_hilbert_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_hilbert_packing": op7_hilbert_packing,
+    "op8_poisson_mixing": op8_poisson_mixing,
+    "op10_media_ogg": op10_media_ogg,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_poisson_mixing": mixing.SQL}
