@@ -11,10 +11,12 @@ from textloom.llm.bagminhash import op4_minhash_near_dedup
 from textloom.llm.mixing import op8_poisson_mixing
 from textloom.llm.ogg import op10_media_ogg
 from textloom.llm.packing import op7_hilbert_packing
+from textloom.llm.pseudolikelihood import op1_pseudo_likelihood
 from textloom.llm.quality import op2_quality_classifier
 from textloom.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_toxicity": op3_toxicity,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
