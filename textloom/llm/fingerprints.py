@@ -18,11 +18,11 @@ from textloom.llm.common import stored, table
 #: Ends of paragraphs: line breaks, and blanks after a sentence's end.
 PARAGRAPH_END = r"\n+|(?<=[.!?])[ \t]+"
 #: Cells of one sketch, and of the larger ones that follow when peeling fails.
-CELLS = (24, 96, 384, 1536)
+CELLS = (6, 18, 72, 288, 1152)
 #: Keys of both versions that one share of the key space is to hold.
-SHARE = 8
+SHARE = 2
 #: Cells of the sketch written as a document's fingerprint.
-WRITTEN = 12
+WRITTEN = 6
 #: Leaves of the tree that finds a row's range of ids, and ranges a task.
 LEAVES, RANGES = 1024, 8
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import mixing
 from textloom.llm.bagminhash import op4_minhash_near_dedup
+from textloom.llm.fingerprints import op5_iblt_fingerprints
 from textloom.llm.mixing import op8_poisson_mixing
 from textloom.llm.ogg import op10_media_ogg
 from textloom.llm.packing import op7_hilbert_packing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_toxicity": op3_toxicity,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_iblt_fingerprints": op5_iblt_fingerprints,
     "op7_hilbert_packing": op7_hilbert_packing,
     "op8_poisson_mixing": op8_poisson_mixing,
     "op10_media_ogg": op10_media_ogg,
