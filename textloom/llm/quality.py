@@ -177,6 +177,16 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, net: Network, cut: float = CUT) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least `cut`; null texts count as empty."""
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            yield batch.filter(pa.array(net.scores(batch.column("text")) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs. Repeated rows are scored alike; other columns are ignored.
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom.llm import mixing
 from textloom.llm.bagminhash import op4_minhash_near_dedup
 from textloom.llm.fingerprints import op5_iblt_fingerprints
+from textloom.llm.licences import op9_licence_scan
+from textloom.llm.linkgraph import op6_link_graph
 from textloom.llm.mixing import op8_poisson_mixing
 from textloom.llm.ogg import op10_media_ogg
 from textloom.llm.packing import op7_hilbert_packing
@@ -22,8 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_iblt_fingerprints": op5_iblt_fingerprints,
+    "op6_link_graph": op6_link_graph,
     "op7_hilbert_packing": op7_hilbert_packing,
     "op8_poisson_mixing": op8_poisson_mixing,
+    "op9_licence_scan": op9_licence_scan,
     "op10_media_ogg": op10_media_ogg,
 }
 

@@ -302,6 +302,20 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
     return _lowered(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Classifier, cut: float = CUT) -> DataFrame:
+    """The rows of docs, all columns, whose score is below `cut`; null texts count as empty."""
+    find = Lookup(model.hashes)
+    names = docs.columns
+
+    def run(batches):
+        for batch in slices(batches, batch_text):
+            keep = 1 / (1 + np.exp(-np.clip(model.logits(batch.column(batch_text), find), -30, 30))) < cut
+            yield batch.select(names).filter(pa.array(keep))
+
+    batch_text = "_lower" + "_" * max(map(len, names))
+    return docs.withColumn(batch_text, F.lower(F.coalesce("text", F.lit("")))).mapInArrow(run, docs.schema)
+
+
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs. Repeated rows are scored alike; other columns are ignored.
 
