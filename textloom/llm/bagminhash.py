@@ -7,7 +7,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import MULT, mix64, slices, stored, table, words_of
@@ -131,40 +131,52 @@ def _bags(width: int):
     return run
 
 
+def similarity(p: np.ndarray, q: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two bags as `_bags` writes them."""
+    both = np.concatenate((p, q))
+    both.sort()
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return same / max(1, len(both) - same)
+
+
 def _overlap(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
         sims = []
         for x, y in zip(batch.column("x_bag"), batch.column("y_bag"), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate((p, q))
-            both.sort()
-            same = int(np.count_nonzero(both[1:] == both[:-1]))
-            sims.append(same / max(1, len(p) + len(q) - same))
+            sims.append(similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(sims, pa.float64())], ["x", "y", "sim"])
 
 
-def _cross(registers: int, least: int):
-    """Pairs of a query block and a data block of one cell, of unlike components, whose registers agree often enough."""
-
-    def run(key, tables):
-        import pandas as pd
+def _cross(registers: int, least: int, threshold: float):
+    """Exact links between a query block and a data block of one cell, as many as merge components: each pair whose registers
+    agree in `least` places is verified over the bags, likeliest first, unless its components have met in this task."""
+    import pandas as pd
 
-        got = tables
+    def run(key, got):
         q, d = got[got["query"]], got[~got["query"]]
-        if q.empty or d.empty:
-            return pd.DataFrame({"x": pd.Series(dtype="int64"), "y": pd.Series(dtype="int64")})
         a = np.frombuffer(b"".join(q["sig"]), np.uint16).reshape(-1, registers)
         b = np.frombuffer(b"".join(d["sig"]), np.uint16).reshape(-1, registers)
-        xs, ys = [], []
-        for i in range(len(a)):
-            ok = ((b == a[i]).sum(axis=1) >= least) & (d["comp"].to_numpy() != q["comp"].iloc[i])
-            y = d["node"].to_numpy()[ok]
-            xs.append(np.full(len(y), q["node"].iloc[i]))
-            ys.append(y)
-        x, y = np.concatenate(xs).astype(np.int64), np.concatenate(ys).astype(np.int64)
-        return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)}).drop_duplicates()
+        merged: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in merged:
+                c = merged[c]
+            return c
+
+        nodes, comps, bags = d["node"].to_numpy(), d["comp"].to_numpy(), [np.frombuffer(x, np.uint64) for x in d["bag"]]
+        out = []
+        for n, x, comp, bag in zip(range(len(q)), q["node"], q["comp"], q["bag"], strict=True):
+            agree = (b == a[n]).sum(axis=1)
+            likely = np.flatnonzero((agree >= least) & (comps != comp))
+            own = np.frombuffer(bag, np.uint64)
+            for m in likely[np.argsort(-agree[likely], kind="stable")].tolist():
+                u, v = top(comp), top(comps[m])
+                if u != v and similarity(own, bags[m]) >= threshold:
+                    merged[u] = v
+                    out.append((x, nodes[m]))
+        return pd.DataFrame(out, columns=["x", "y"]).astype("int64")
 
     return run
 
@@ -197,8 +209,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     1. One pass makes a BagMinHash signature, its bands and a digest of each bag. Equal bags collapse to their least doc_id.
     2. In each band bucket all members are verified against one hub: the member that shares most bucket places, so that a
        cloud of copies is tested against its centre. Verification is exact, over the shingle bags.
-    3. Members of a hub's cell that are still in other components than the hub are compared with the whole cell, in
-       blocks of bounded size: signatures prune, surviving pairs are verified exactly. No link between cell members is lost.
+    3. Members of a hub's cell that are still in other components than the hub are compared with the whole cell, in blocks of
+       bounded size: signatures prune, surviving pairs are verified exactly until their components meet. No merge is lost.
     A pair at the threshold goes unseen by all 32 bands of 4 with a probability of 5e-8, and is pruned with one below 1e-4.
 
     Null and wordless texts have the empty bag and form one class of copies; a text of under five words is one shingle.
@@ -231,12 +243,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     member = stored(member)
     cell = member.groupBy("hub").agg(F.count("*").alias("n"), F.sum(F.col("odd").cast("long")).alias("k")).where("n > 1 and k > 0")
     cell = stored(cell.select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("data_blocks"), F.ceil(F.col("k") / BLOCK).cast("int").alias("query_blocks")))
-    at = member.join(cell, "hub").join(node.select("node", "sig"), "node").withColumn("h", F.xxhash64("node"))
+    at = member.join(cell, "hub").join(node.select("node", "sig"), "node").join(bags, "node").withColumn("h", F.xxhash64("node"))
     data = at.withColumn("i", F.pmod("h", "data_blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).withColumn("query", F.lit(False))
     query = at.where("odd").withColumn("j", F.pmod("h", "query_blocks").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("data_blocks") - 1))).withColumn("query", F.lit(True))
-    both = data.unionByName(query).select("hub", "i", "j", "node", "comp", "sig", "query")
-    more = both.groupBy("hub", "i", "j").applyInPandas(_cross(registers, int(PRUNE * registers)), "x long, y long").distinct()
-    found = verified(stored(more)).where(F.col("sim") >= threshold).select("x", "y")
+    both = data.unionByName(query).select("hub", "i", "j", "node", "comp", "sig", "bag", "query")
+    found = both.groupBy("hub", "i", "j").applyInPandas(_cross(registers, int(PRUNE * registers), threshold), "x long, y long")
     final = components(links.unionByName(found))
     of = classes.join(final, "node", "left").select("digest", F.col("node").alias("copies_id"), F.coalesce("comp", "node").alias("comp"))
     # a doc_id on several rows links the classes of its texts
@@ -244,6 +255,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id stands for its near-duplicate class, one row of each doc_id, the least text of several."""
+    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long")
+    kept = near_duplicates(docs).select(key.alias("_node"), "class_id").where("_node = class_id").select("_node").distinct()
+    own = Window.partitionBy("_node").orderBy("text")
+    out = docs.withColumn("_node", key).join(kept, "_node").withColumn("_nth", F.row_number().over(own)).where("_nth = 1")
+    return out.select(docs.columns)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of documents with its near-duplicate class."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
