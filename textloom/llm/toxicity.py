@@ -21,7 +21,7 @@ LABELLED = 2000
 #: Most words or prefixes on one drawn list, and the least number of documents and the least log odds for one.
 LISTED, LEAST, ODDS = 400, 6, 3.0
 #: Most documents on either side of even posterior odds that the classifier is fitted on, and its features.
-FITTED, FEATURES = 3000, 2000
+FITTED, FEATURES = 3000, 1000
 #: Code points of the prefixes that stand for word families.
 PREFIXES = (4, 5)
 VOTERS = ["insults", "contempt", "words_a", "words_b", "prefixes_4", "prefixes_5", "hits", "addressed"]
@@ -228,30 +228,22 @@ class Classifier:
         return self.bias + np.bincount(seen // max(1, len(self.hashes)), self.weights[seen % max(1, len(self.hashes))], len(column))
 
 
-def fit_classifier(h: np.ndarray, doc: np.ndarray, target: np.ndarray) -> Classifier:
-    """Logistic regression on posterior labels; the features are those whose presence tells most about them."""
+def fit_classifier(features: np.ndarray, h: np.ndarray, doc: np.ndarray, target: np.ndarray) -> Classifier:
+    """Logistic regression on posterior labels over the presence (h, doc) of the chosen features."""
     base = float(np.clip(target.mean(), 1e-3, 1 - 1e-3)) if len(target) else 0.5
-    distinct, col = np.unique(h, return_inverse=True)
-    n = np.bincount(col, minlength=len(distinct))
-    pos = np.bincount(col, target[doc], len(distinct)) if len(h) else np.zeros(0)
-    gain = (pos - base * n) / np.sqrt(np.maximum(n * base * (1 - base), 1))
-    keep = np.argsort(-np.abs(gain), kind="stable")[:FEATURES]
-    keep = keep[n[keep] >= LEAST]
-    new = np.full(len(distinct), -1)
-    new[keep] = np.arange(len(keep))
-    ok = new[col] >= 0
-    x = np.zeros((len(target), len(keep)), np.float32)
-    x[doc[ok], new[col[ok]]] = 1
-    w, b = np.zeros(len(keep)), float(np.log(base / (1 - base)))
-    m1, m2, step = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1), 0
+    features = np.sort(features)
+    x = np.zeros((len(target), len(features)), np.float32)
+    x[doc, np.searchsorted(features, h)] = 1
+    w, b = np.zeros(len(features)), float(np.log(base / (1 - base)))
+    m1, m2 = np.zeros(len(features) + 1), np.zeros(len(features) + 1)
     for step in range(1, 301 if len(target) else 0):
-        p = 1 / (1 + np.exp(-(x @ w + b)))
+        p = 1 / (1 + np.exp(-(x @ w.astype(np.float32) + b)))
         d = (p - target) / len(target)
-        g = np.append(x.T @ d + 1e-4 * w, d.sum())
+        g = np.append(d.astype(np.float32) @ x + 1e-4 * w, d.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - float(move[-1])
-    return Classifier(distinct[keep], w, b)
+    return Classifier(features, w, b)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
@@ -280,14 +272,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
             ids, votes = batch.column("doc_id").to_numpy()[doc], batch.column("label").to_numpy()[doc]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h.view(np.int64)), pa.array(votes.astype(np.int32))], ["doc_id", "h", "votes"])
 
-    # features of few of the sampled documents tell nothing: only those of LEAST documents come to the driver
-    rows = sample.mapInArrow(run, "doc_id long, h long, votes int")
-    rows = stored(rows)
-    common = rows.groupBy("h").count().where(F.col("count") >= LEAST).orderBy(F.desc("count"), "h").limit(20 * FEATURES).select("h")
-    got = rows.join(F.broadcast(common), "h").toPandas().sort_values(["doc_id", "h"])
-    ids = np.array(sorted((r["doc_id"], r["votes"]) for r in one.join(picked.select("doc_id"), "doc_id").collect()), np.int64).reshape(-1, 2)
-    doc = np.searchsorted(ids[:, 0], got["doc_id"].to_numpy())
-    return fit_classifier(got["h"].to_numpy(np.int64).view(np.uint64), doc, post[ids[:, 1]])
+    rows = stored(sample.mapInArrow(run, "doc_id long, h long, votes int"))
+    ids = np.array(sorted((r["doc_id"], r["votes"]) for r in picked.collect()), np.int64).reshape(-1, 2)
+    target = post[ids[:, 1]]
+    base = float(np.clip(target.mean(), 1e-3, 1 - 1e-3)) if len(target) else 0.5
+    # only the features whose presence tells most about the posterior come to the driver, and where they are
+    p = F.element_at(F.array(*(F.lit(float(x)) for x in post)), F.col("votes") + 1)
+    tell = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum(p).alias("pos")).where(F.col("n") >= LEAST)
+    gain = F.abs(F.col("pos") - base * F.col("n")) / F.sqrt(F.col("n") * (base * (1 - base)))
+    best = np.array([r["h"] for r in tell.orderBy(gain.desc(), "h").limit(FEATURES).select("h").collect()], np.int64)
+    got = rows.where(F.col("h").isin(best.tolist())).select("doc_id", "h").toPandas()
+    doc = np.searchsorted(ids[:, 0], got["doc_id"].to_numpy(np.int64))
+    return fit_classifier(best.view(np.uint64), got["h"].to_numpy(np.int64).view(np.uint64), doc, target)
 
 
 def scored(docs: DataFrame, model: Classifier) -> DataFrame:
