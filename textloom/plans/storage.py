@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from textloom.operators.index import Index
 
-_OPEN: dict[tuple[str, str, bool], str] = {}
+_OPEN: dict[tuple[str, str, bool], Index] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,6 +22,5 @@ def index_of(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> Index:
     if key not in _OPEN:
         name = hashlib.sha256(repr(key).encode()).hexdigest()[:24]
         path = f"{shared_folder(spark).rstrip('/')}/index-{name}"
-        Index.build(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), stemmed).write(path)
-        _OPEN[key] = path
-    return Index.read(spark, _OPEN[key])
+        _OPEN[key] = Index.build(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), stemmed).write(path)
+    return _OPEN[key]
