@@ -17,8 +17,8 @@ from textloom.llm.common import stored, table
 
 #: Ends of paragraphs: line breaks, and blanks after a sentence's end.
 PARAGRAPH_END = r"\n+|(?<=[.!?])[ \t]+"
-#: Cells of one sketch, and of the larger ones that follow when peeling fails.
-CELLS = (6, 18, 72, 288, 1152)
+#: Cells of one sketch, and of the larger ones that follow when peeling fails; their thirds are coprime, so that failures are independent.
+CELLS = (6, 21, 75, 303, 1167)
 #: Keys of both versions that one share of the key space is to hold.
 SHARE = 2
 #: Cells of the sketch written as a document's fingerprint.
@@ -49,8 +49,8 @@ def _mark(key: Column) -> Column:
 
 
 def _place(mark: Column, part: int, cells: int) -> Column:
-    """The key's cell in one third of the sketch, from 16 bits of its mark."""
-    return (F.pmod(F.shiftright(mark, 16 * part), F.lit(cells // 3)) + part * (cells // 3)).cast("int")
+    """The key's cell in one third of the sketch, from 21 bits of its mark."""
+    return (F.pmod(F.shiftright(mark, 21 * part), F.lit(cells // 3)) + part * (cells // 3)).cast("int")
 
 
 def signed(more: Column, less: Column) -> Column:
