@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -70,7 +72,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most_bytes` of text each, whole texts only, so that temporaries stay bounded."""
     for batch in batches:
         if not batch.num_rows:
@@ -81,6 +83,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 <
             to = max(at + 1, int(np.searchsorted(off, off[at] + most_bytes, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on between tasks, and share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def byte_powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ LABELLED = 2000
 #: Most words or prefixes on one drawn list, and the least number of documents and the least log odds for one.
 LISTED, LEAST, ODDS = 400, 6, 3.0
 #: Most documents on either side of even posterior odds that the classifier is fitted on, and its features.
-FITTED, FEATURES = 3000, 1000
+FITTED, FEATURES = 2000, 600
 #: Code points of the prefixes that stand for word families.
 PREFIXES = (4, 5)
 VOTERS = ["insults", "contempt", "words_a", "words_b", "prefixes_4", "prefixes_5", "hits", "addressed"]
@@ -281,9 +281,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     tell = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum(p).alias("pos")).where(F.col("n") >= LEAST)
     gain = F.abs(F.col("pos") - base * F.col("n")) / F.sqrt(F.col("n") * (base * (1 - base)))
     best = np.array([r["h"] for r in tell.orderBy(gain.desc(), "h").limit(FEATURES).select("h").collect()], np.int64)
-    got = rows.where(F.col("h").isin(best.tolist())).select("doc_id", "h").toPandas()
-    doc = np.searchsorted(ids[:, 0], got["doc_id"].to_numpy(np.int64))
-    return fit_classifier(best.view(np.uint64), got["h"].to_numpy(np.int64).view(np.uint64), doc, target)
+    got = rows.where(F.col("h").isin(best.tolist())).select("doc_id", "h").toArrow()
+    doc = np.searchsorted(ids[:, 0], got["doc_id"].to_numpy())
+    return fit_classifier(best.view(np.uint64), got["h"].to_numpy().view(np.uint64), doc, target)
 
 
 def scored(docs: DataFrame, model: Classifier) -> DataFrame:
