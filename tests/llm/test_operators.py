@@ -1,6 +1,7 @@
 """Operators over small tables, held against brute force; nulls, empty and repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -205,6 +206,22 @@ def test_mixing_inverts_the_poisson_distribution(spark, rows):
         mixing.mixed(docs, {"": 1.0}, epochs=2.0).collect()
 
 
+def test_mixing_of_very_small_sources(spark):
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, "small").otherwise("large").alias("source"))
+    rate = {r["source"]: r["rate"] for r in mixing.rates(docs, temperature=0.0).collect()}
+    assert rate == {"small": 5000.0, "large": pytest.approx(10000 / 19998)}
+    got = mixing.mixed(docs, temperature=0.0).where("doc_id < 200").groupBy("doc_id").count().collect()
+    times = {r["doc_id"]: r["count"] for r in got}
+    for i in range(200):
+        u = int(hashlib.md5(f"{mixing.SEED}|{i}".encode()).hexdigest()[:13], 16) / 2**52
+        lam = rate["small" if i < 2 else "large"]
+        total, k = math.exp(-lam), 0
+        while u >= total:
+            k += 1
+            total += math.exp(k * math.log(lam) - lam - math.lgamma(k + 1))
+        assert times.get(i, 0) == k
+
+
 def test_mixing_sql(spark, rows, tmp_path):
     docs = table(spark, [r for r in rows if r[0] != 103])
     got = sorted((r["doc_id"] or -1, r["copy_no"], r["place"]) for r in mixing.mixed(docs).select("doc_id", "copy_no", "place").collect())

@@ -14,7 +14,7 @@ SEED = "mix-1"
 TEMPERATURE = 0.7
 #: Mean length of the result against the input, in documents.
 EPOCHS = 1.0
-#: Counts whose upper tail is below 2**-53 for any rate up to `most_rate`.
+#: Most repetitions that given weights may ask of a source; rates without given weights have no such bound.
 MOST_RATE = 16.0
 
 
@@ -38,12 +38,18 @@ def uniform(*parts: Column) -> Column:
     return hashed(13, *parts).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson(u: Column, rate: Column, most: int) -> Column:
+def terms(rate: Column) -> Column:
+    """A count whose Poisson tail is below 2**-53: by Bernstein's bound, x above the rate has x * x = 2 * 53 * ln 2 * (rate + x / 3)."""
+    a = 53 * math.log(2)
+    return F.ceil(rate + a / 3 + F.sqrt(a * a / 9 + 2 * a * rate)).cast("int")
+
+
+def poisson(u: Column, rate: Column) -> Column:
     """Inverse of the Poisson distribution function at u: the number of k whose P(X <= k) is at most u."""
-    # (term, sum, count): the terms follow by recurrence
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n"))
-    step = lambda s, k: F.struct((s.p * rate / k).alias("p"), (s.c + s.p * rate / k).alias("c"), (s.n + F.when(u >= s.c, 1).otherwise(0)).alias("n"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s.n)
+    # (log of the term, sum, count): the terms follow by recurrence, in logarithms, as exp(-rate) is 0 for rates above 745
+    start = F.struct((-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n"))
+    step = lambda s, k: F.struct((s.p + F.log(rate / k)).alias("p"), (s.c + F.exp(s.p + F.log(rate / k))).alias("c"), (s.n + F.when(u >= s.c, 1).otherwise(0)).alias("n"))
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), terms(rate)), start, step, lambda s: s.n)).otherwise(0)
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS) -> DataFrame:
@@ -51,7 +57,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
     `weights` are target shares by source, scaled to sum 1 over the sources that occur; sources without one get none. Without
     weights a source's share goes with the `temperature`-th power of its number of documents. The null source is one source.
-    A rate above MOST_RATE raises: so small a source can't fill so large a share by repetition.
+    A rate above MOST_RATE raises if weights are given: so small a source can't fill so large a share by repetition. Without
+    weights every rate is taken, however small the source.
     """
     n = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n"))
     share = F.pow(F.col("n"), F.lit(temperature))
@@ -61,6 +68,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     n = n.withColumn("share", share)
     total = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("shares")).first()
     rate = F.lit(epochs * total["all"]) * F.col("share") / F.lit(total["shares"] or 1.0) / F.col("n")
+    if weights is None:
+        return n.select("source", "n", rate.alias("rate"))
     checked = F.when(rate <= MOST_RATE, rate).otherwise(F.raise_error(F.lit(f"a source would need more than {MOST_RATE} repetitions")).cast("double"))
     return n.select("source", "n", checked.alias("rate"))
 
@@ -76,7 +85,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     own = docs.drop("copy_no", "place")
     counted = own.withColumn("_source", F.coalesce("source", F.lit(""))).join(of, "_source")
-    counted = counted.withColumn("_times", poisson(uniform(F.lit(seed), key), F.col("_rate"), most_count(MOST_RATE))).where("_times > 0")
+    counted = counted.withColumn("_times", poisson(uniform(F.lit(seed), key), F.col("_rate"))).where("_times > 0")
     out = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
     out = out.withColumn("place", hashed(15, F.lit(seed), key, F.col("copy_no").cast("string")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
