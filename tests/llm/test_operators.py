@@ -242,6 +242,20 @@ def test_licences(spark):
     assert all(r["contained"] == 1.0 and r["probability"] > 0.5 for r in got)
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+BSD = "// Redistribution and use in source and binary forms, with or without\r\n// modification, are permitted provided that the following conditions\r\n// are met:"
+
+
+def test_wrapped_licences(spark):
+    rng = random.Random(4)
+    narrow = "Permission is\nhereby granted, free\nof charge, to any\nperson obtaining a\ncopy of this\nsoftware and\nassociated documentation\nfiles"
+    data = [(n, prose(rng, 60) + "\n\n" + (MIT, BSD, narrow)[n % 3] + "\n\n" + prose(rng, 20), "s") for n in range(6)] + [(n, prose(rng, 60) + "\nof this software", "s") for n in range(6, 30)]
+    data += [(40, "kept apart\n" + MIT + "\n" + BSD, "s"), (41, MIT.replace("copy\n", "copy\n\n"), "s")]
+    got = sorted((r["doc_id"], r["family"], r["template"]) for r in licences.scanned(table(spark, data)).collect())
+    mit, bsd = ("mit", "mit/1"), ("bsd", "bsd/1")
+    assert got == [(0, *mit), (1, *bsd), (2, *mit), (3, *mit), (4, *bsd), (5, *mit), (40, *bsd), (40, *mit)]
+
+
 def test_media(spark, rows):
     got = ogg.media_digests(ogg.media_of(table(spark, rows))).collect()
     want = sorted((str(i), hashlib.sha256(ogg.padded((t or "").encode())).hexdigest()) for i, t, _ in rows)

@@ -7,6 +7,7 @@ none of them can't be told from the unknown class and needs no row; all others a
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,15 +36,24 @@ COPIES, UNKNOWN = 8, 2000
 STEPS, RATE, MOMENTUM, DECAY = 12, 6.0, 0.7, 2e-4
 #: Share of the unknown sample that may be taken for a licence, and share of a template's features a confirmed paragraph has.
 FALSE_SHARE, CONTAINED = 0.001, 0.75
+#: Lines of which no template is held, alone or with the lines around them.
+APART = "not joined and not held and not covered"
+
+
+def hashes(text: Column) -> Column:
+    """The hashed words of a line in their order; words are runs of letters, digits and dots within numbers, in lower case."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|\p{N}+(?:\.\p{N}+)*)"), F.lit(1)), lambda x: F.xxhash64(x))
+
+
+def of_hashes(h: Column) -> Column:
+    """Distinct words and word pairs of hashed words, which should be a variable."""
+    two = F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    return F.array_distinct(F.when(F.size(h) > 1, F.concat(h, two)).otherwise(h))
 
 
 def grams(text: Column) -> Column:
-    """Distinct hashed words and word pairs of a paragraph; words are runs of letters, digits and dots within numbers, in lower case."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|\p{N}+(?:\.\p{N}+)*)"), F.lit(1))
-    one = lambda w: F.transform(w, lambda x: F.xxhash64(x))
-    two = lambda h: F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    both = F.transform(F.array(one(words)), lambda h: F.when(F.size(h) > 1, F.concat(h, two(h))).otherwise(h))
-    return F.array_distinct(F.get(both, 0))
+    """Distinct hashed words and word pairs of a paragraph."""
+    return let(hashes(text), of_hashes)
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -53,33 +63,61 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, at, text): the non-empty lines of each text, counted from 0; row tells rows that repeat a doc_id apart."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("at", "text"))
-    return rows.where(F.length(F.trim("text")) > 0)
-
-
-def features(spark: SparkSession) -> DataFrame:
-    """(gram): every word and pair of the templates, a few hundred."""
-    return templates(spark).select(F.explode(grams(F.col("text"))).alias("gram")).distinct()
+    """doc_id, row, at, end, joined, h, held, covered, seen: the lines that have words, and what wrapped notices they are part of.
 
-
-def examples(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    Lines are counted from 0; row tells rows that repeat a doc_id apart; h is the line's hash and seen its features. A notice may be
+    wrapped at any width, so each line is also read on into the lines after it, as far as a line without words and by as many words
+    as the longest template has: a joined row (`at` to `end`) for each such window that holds CONTAINED of a template's features.
+    `held` lines hold as much of a template by themselves; `covered` ones stand in a joined row.
+    """
+    shown = templates(docs.sparkSession).select(F.size(hashes(F.col("text"))).alias("n"), grams(F.col("text")).alias("all")).collect()
+    span, least = max(r["n"] for r in shown), min(math.ceil(CONTAINED * len(r["all"])) for r in shown)
+    known = sorted({g for r in shown for g in r["all"]})
+    every = F.array(*(F.array(*map(F.lit, r["all"])) for r in shown))
+    own = lambda h: F.filter(of_hashes(h), lambda g: g.isin(*known))
+    holds = lambda seen: F.when(F.size(seen) >= least, F.exists(every, lambda t: F.size(F.array_intersect(seen, t)) >= CONTAINED * F.size(t))).otherwise(False)
+
+    def after(all_of: Column, i: Column) -> Column:
+        """The lines after line i, as far as one without words."""
+        rest = F.slice(all_of, i + 2, F.lit(span))
+        return let(rest, lambda r: let(F.array_position(F.transform(r, lambda x: F.size(x)), F.lit(0)), lambda stop: F.when(stop > 0, F.slice(r, 1, stop.cast("int") - 1)).otherwise(r)))
+
+    def window(h: Column, rest: Column, i: Column) -> Column:
+        """(end, seen) if the end of line i with the lines after it holds a template, else null."""
+        words = F.concat(F.slice(h, F.greatest(F.size(h) - span, F.lit(0)) + 1, F.lit(span)), F.slice(F.flatten(F.transform(rest, lambda x: F.slice(x, 1, span))), 1, span))
+        step = lambda a, x: F.when(a.words < span, F.struct((a.words + F.size(x)).alias("words"), (a.lines + 1).alias("lines"))).otherwise(a)
+        end = i + F.aggregate(rest, F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines")), step, lambda a: a.lines)
+        return let(let(words, own), lambda seen: F.when(holds(seen), F.struct(end.alias("end"), seen.alias("seen"))))
+
+    def told(lines: Column, all_of: Column) -> Column:
+        read_on = lambda h, i: let(after(all_of, i), lambda rest: F.when((F.size(h) > 0) & (F.size(rest) > 0), window(h, rest, i)))
+        one = lambda h, i: let(own(h), lambda seen: F.struct(i.alias("at"), (F.size(h) > 0).alias("some"), F.xxhash64(F.get(lines, i)).alias("h"), seen.alias("seen"), holds(seen).alias("held"), read_on(h, i).alias("on")))
+        return F.transform(all_of, one)
+
+    lines = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
+    parts = let(lines, lambda ls: let(F.transform(ls, hashes), lambda hs: told(ls, hs)))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), parts.alias("parts"))
+    ons = let(F.filter("parts", lambda x: x.on.isNotNull()), lambda on: F.transform("parts", lambda x: F.struct(x.alias("x"), F.exists(on, lambda o: (o["at"] <= x["at"]) & (o["on"]["end"] >= x["at"])).alias("covered"))))
+    rows = rows.select("doc_id", "row", F.explode(ons).alias("part")).where("part.x.some").select("doc_id", "row", "part.x.*", "part.covered")
+    line = F.struct(F.col("at").alias("end"), F.lit(False).alias("joined"), "seen")
+    both = F.when(F.col("on").isNull(), F.array(line)).otherwise(F.array(line, F.struct(F.col("on.end").alias("end"), F.lit(True).alias("joined"), F.col("on.seen").alias("seen"))))
+    return rows.select("doc_id", "row", "at", "h", "held", "covered", F.explode(both).alias("unit")).select("doc_id", "row", "at", "h", "held", "covered", "unit.*")
+
+
+def examples(rows: DataFrame) -> DataFrame:
     """(example, family, test, grams): templates with words left out by hash, and a bounded sample of paragraphs as the unknown class.
 
-    Sampled paragraphs that hold most of some template are left out. Every fourth example is for calibration only.
+    Lines that are held or covered are left out of the sample. Every fourth example
+    is for calibration only.
     """
-    spark = docs.sparkSession
-    known = templates(spark).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    known = templates(rows.sparkSession).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
     words = F.filter(F.split("text", " "), lambda w, i: (F.col("copy") == 0) | (F.pmod(F.xxhash64("template", "copy", i), F.lit(6)) != 0))
     known = known.select("family", F.concat_ws("#", "template", "copy").alias("example"), F.array_join(words, " ").alias("text"))
-    lines = paragraphs(docs).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(UNKNOWN)
-    own = vocabulary.agg(F.collect_list("gram").alias("vocabulary"))
-    lines = lines.select(F.lit("unknown").alias("family"), F.concat(F.lit("line#"), F.hex("h")).alias("example"), "text").distinct()
-    rows = known.unionByName(lines).select("example", "family", grams(F.col("text")).alias("grams"))
-    rows = rows.join(F.broadcast(own), F.lit(True)).select("example", "family", F.array_intersect("grams", "vocabulary").alias("grams"))
-    most = templates(spark).select(F.collect_list(grams(F.col("text"))).over(Window.partitionBy(F.lit(1))).alias("all")).limit(1)
-    rows = rows.join(F.broadcast(most), F.lit(True)).where((F.col("family") != "unknown") | ~F.expr(f"exists(all, t -> size(array_intersect(grams, t)) >= {CONTAINED} * size(t))")).drop("all")
-    return rows.withColumn("test", F.pmod(F.xxhash64("example"), F.lit(4)) == 0)
+    own = templates(rows.sparkSession).select(F.explode(grams(F.col("text"))).alias("gram")).agg(F.collect_set("gram").alias("vocabulary"))
+    known = known.select("example", "family", grams(F.col("text")).alias("grams")).join(F.broadcast(own), F.lit(True)).select("example", "family", F.array_intersect("grams", "vocabulary").alias("grams"))
+    lines = rows.where(APART).select("h", F.col("seen").alias("grams")).orderBy("h").limit(UNKNOWN)
+    lines = lines.select(F.concat(F.lit("line#"), F.hex("h")).alias("example"), F.lit("unknown").alias("family"), "grams").distinct()
+    return known.unionByName(lines).withColumn("test", F.pmod(F.xxhash64("example"), F.lit(4)) == 0)
 
 
 def _softmax(logits: Column) -> Column:
@@ -123,40 +161,45 @@ def trained(rows: DataFrame) -> dict[int, list[float]]:
 
 
 def scores(rows: DataFrame, weights: dict[int, list[float]], by: list[str]) -> DataFrame:
-    """`by`, seen (the features found), p (probability of each family) for rows of (by, gram); rows without a feature are gone."""
-    bias = F.array(*map(F.lit, weights.get(0, [0.0] * len(FAMILIES))))
-    known = model(rows.sparkSession, {g: w for g, w in weights.items() if g})
-    found = rows.join(F.broadcast(known), "gram").groupBy(*by).agg(F.collect_list("gram").alias("seen"), _sums("w").alias("logits"))
-    return found.select(*by, "seen", _softmax(F.zip_with("logits", bias, lambda a, b: a + b)).alias("p"))
+    """`by` and p (probability of each family) for rows of (by, gram), gram 0 among them."""
+    found = rows.join(F.broadcast(model(rows.sparkSession, weights)), "gram").groupBy(*by).agg(_sums("w").alias("logits"))
+    return found.select(*by, _softmax(F.col("logits")).alias("p"))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph, family, probability, template, contained of each paragraph that declares a licence.
 
-    A paragraph's family is the likeliest but unknown; it counts if its probability exceeds the threshold at which FALSE_SHARE of
-    the unknown calibration paragraphs would count (0.5 at least), and if it holds CONTAINED of the features of a template of that
-    family; the best such template is named. All paragraphs of all texts are scored. Null and empty texts have none; rows that
-    repeat a doc_id are reported each; equal templates tie to the first by name; empty tables stay empty; other columns are ignored.
+    A paragraph is a line, or a notice that is wrapped over neighbouring lines; `paragraph` is the line that it begins in, and each
+    template's best window, the latest of equal ones, stands for those that overlap it. A paragraph's family is the likeliest but
+    unknown; it counts if its probability exceeds the threshold at which FALSE_SHARE of the unknown calibration lines would count (0.5 at
+    least), and if it holds CONTAINED of the features of a template of that family; the best such template is named. All lines of
+    all texts are scored. Null and empty texts have none; rows that repeat a doc_id are reported each; equal templates tie to the
+    first by name; empty tables stay empty; other columns are ignored.
     """
     spark = docs.sparkSession
-    vocabulary = stored(features(spark))
-    rows = stored(examples(docs, vocabulary))
-    weights = trained(rows)
+    rows = stored(paragraphs(docs))
+    shown = stored(examples(rows))
+    weights = trained(shown)
     licence = F.slice("p", 1, len(FAMILIES) - 1)
-    best = F.array_max(licence)
-    test = rows.where("test and family = 'unknown'").select("example", F.explode("grams").alias("gram"))
-    n = rows.where("test and family = 'unknown'").count()
-    over = [r[0] for r in scores(test, weights, ["example"]).select(best.alias("p")).orderBy(F.desc("p")).limit(1 + int(FALSE_SHARE * n)).collect()]
-    least = max([0.5, *over[int(FALSE_SHARE * n) :]])
-    grams_of = paragraphs(docs).select("doc_id", "row", "at", F.explode(grams(F.col("text"))).alias("gram"))
-    told = scores(grams_of, weights, ["doc_id", "row", "at"]).withColumn("probability", best).where(F.col("probability") > least)
+    key = ["row", "at", "joined"]
+    grams_of = rows.select(*key, F.explode(F.concat("seen", F.array(F.lit(0).cast("bigint")))).alias("gram"))
+    told = scores(grams_of, weights, key).withColumn("probability", F.array_max(licence))
     family = F.get(F.array(*map(F.lit, FAMILIES)), (F.array_position(licence, F.col("probability")) - 1).cast("int"))
-    told = told.select("doc_id", "row", "at", "seen", "probability", family.alias("family"))
+    told = stored(told.select(*key, "probability", family.alias("family")).join(rows.withColumn("apart", F.expr(APART)), key).select("doc_id", *key, "end", "apart", "probability", "family", F.when(F.col("probability") > 0.5, F.col("seen")).alias("seen")))
+    test = shown.where("test and family = 'unknown'").select("example", F.explode(F.concat("grams", F.array(F.lit(0).cast("bigint")))).alias("gram"))
+    n = shown.where("test and family = 'unknown'").count()
+    over = [r[0] for r in scores(test, weights, ["example"]).select(F.array_max(licence).alias("p")).orderBy(F.desc("p")).limit(1 + int(FALSE_SHARE * n)).collect()]
+    least = max([0.5, *over[int(FALSE_SHARE * n) :]])
+    told = told.where(F.col("probability") > least)
     shown = F.broadcast(templates(spark).select("family", "template", grams(F.col("text")).alias("all")))
     contained = F.size(F.array_intersect("seen", "all")) / F.size("all")
     ok = told.join(shown, "family").withColumn("contained", contained).where(F.col("contained") >= CONTAINED)
+    order = Window.partitionBy("row", "template").orderBy("at", F.desc("joined"))
+    better = (F.lead("at").over(order) <= F.col("end")) & (F.lead("contained").over(order) >= F.col("contained"))
+    better |= (F.lag("end").over(order) >= F.col("at")) & (F.lag("contained").over(order) > F.col("contained"))
+    ok = ok.withColumn("better", F.coalesce(better, F.lit(False))).where("not (joined and better)")
     top = F.max(F.struct("contained", F.col("template"))).alias("t")
-    out = ok.groupBy("doc_id", "row", "at", "family", "probability").agg(top)
+    out = ok.groupBy("doc_id", "row", "at", "joined", "family", "probability").agg(top)
     return out.select("doc_id", F.col("at").alias("paragraph"), "family", "probability", F.col("t.template").alias("template"), F.col("t.contained").alias("contained"))
 
 
