@@ -256,6 +256,15 @@ def test_wrapped_licences(spark):
     assert got == [(0, *mit), (1, *bsd), (2, *mit), (3, *mit), (4, *bsd), (5, *mit), (40, *bsd), (40, *mit)]
 
 
+def test_unknown_licence_examples_are_distinct(spark, monkeypatch):
+    monkeypatch.setattr(licences, "UNKNOWN", 20)
+    rng = random.Random(5)
+    lines = [prose(rng, 12).replace("\n", " ") for _ in range(40)]
+    data = [(n, "\n".join(lines[n % 40 :: 40] * 50), "s") for n in range(40)]
+    rows = licences.examples(licences.paragraphs(table(spark, data))).where("family = 'unknown'")
+    assert rows.count() == rows.select("example").distinct().count() == 20
+
+
 def test_media(spark, rows):
     got = ogg.media_digests(ogg.media_of(table(spark, rows))).collect()
     want = sorted((str(i), hashlib.sha256(ogg.padded((t or "").encode())).hexdigest()) for i, t, _ in rows)

@@ -34,7 +34,7 @@ FAMILIES = [*TEMPLATES, "unknown"]
 #: Copies of each template with other words left out, and most paragraphs of the corpus that stand for the unknown class.
 COPIES, UNKNOWN = 8, 2000
 STEPS, RATE, MOMENTUM, DECAY = 12, 6.0, 0.7, 2e-4
-#: Share of the unknown sample that may be taken for a licence, and share of a template's features a confirmed paragraph has.
+#: Share of the paragraphs that hold no template that may be taken for a licence, and share of a template's features a confirmed paragraph has.
 FALSE_SHARE, CONTAINED = 0.001, 0.75
 #: Lines of which no template is held, alone or with the lines around them.
 APART = "not joined and not held and not covered"
@@ -107,7 +107,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 def examples(rows: DataFrame) -> DataFrame:
     """(example, family, test, grams): templates with words left out by hash, and a bounded sample of paragraphs as the unknown class.
 
-    Lines that are held or covered are left out of the sample. Every fourth example
+    The sample is of distinct lines, so that copies don't fill it; lines that are held or covered are left out. Every fourth example
     is for calibration only.
     """
     known = templates(rows.sparkSession).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
@@ -115,8 +115,8 @@ def examples(rows: DataFrame) -> DataFrame:
     known = known.select("family", F.concat_ws("#", "template", "copy").alias("example"), F.array_join(words, " ").alias("text"))
     own = templates(rows.sparkSession).select(F.explode(grams(F.col("text"))).alias("gram")).agg(F.collect_set("gram").alias("vocabulary"))
     known = known.select("example", "family", grams(F.col("text")).alias("grams")).join(F.broadcast(own), F.lit(True)).select("example", "family", F.array_intersect("grams", "vocabulary").alias("grams"))
-    lines = rows.where(APART).select("h", F.col("seen").alias("grams")).orderBy("h").limit(UNKNOWN)
-    lines = lines.select(F.concat(F.lit("line#"), F.hex("h")).alias("example"), F.lit("unknown").alias("family"), "grams").distinct()
+    lines = rows.where(APART).groupBy("h").agg(F.min("seen").alias("grams")).orderBy("h").limit(UNKNOWN)
+    lines = lines.select(F.concat(F.lit("line#"), F.hex("h")).alias("example"), F.lit("unknown").alias("family"), "grams")
     return known.unionByName(lines).withColumn("test", F.pmod(F.xxhash64("example"), F.lit(4)) == 0)
 
 
@@ -171,25 +171,21 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     A paragraph is a line, or a notice that is wrapped over neighbouring lines; `paragraph` is the line that it begins in, and each
     template's best window, the latest of equal ones, stands for those that overlap it. A paragraph's family is the likeliest but
-    unknown; it counts if its probability exceeds the threshold at which FALSE_SHARE of the unknown calibration lines would count (0.5 at
+    unknown; it counts if its probability exceeds that which FALSE_SHARE of all lines that no template is held of exceed (0.5 at
     least), and if it holds CONTAINED of the features of a template of that family; the best such template is named. All lines of
     all texts are scored. Null and empty texts have none; rows that repeat a doc_id are reported each; equal templates tie to the
     first by name; empty tables stay empty; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = stored(paragraphs(docs))
-    shown = stored(examples(rows))
-    weights = trained(shown)
+    weights = trained(stored(examples(rows)))
     licence = F.slice("p", 1, len(FAMILIES) - 1)
     key = ["row", "at", "joined"]
     grams_of = rows.select(*key, F.explode(F.concat("seen", F.array(F.lit(0).cast("bigint")))).alias("gram"))
     told = scores(grams_of, weights, key).withColumn("probability", F.array_max(licence))
     family = F.get(F.array(*map(F.lit, FAMILIES)), (F.array_position(licence, F.col("probability")) - 1).cast("int"))
     told = stored(told.select(*key, "probability", family.alias("family")).join(rows.withColumn("apart", F.expr(APART)), key).select("doc_id", *key, "end", "apart", "probability", "family", F.when(F.col("probability") > 0.5, F.col("seen")).alias("seen")))
-    test = shown.where("test and family = 'unknown'").select("example", F.explode(F.concat("grams", F.array(F.lit(0).cast("bigint")))).alias("gram"))
-    n = shown.where("test and family = 'unknown'").count()
-    over = [r[0] for r in scores(test, weights, ["example"]).select(F.array_max(licence).alias("p")).orderBy(F.desc("p")).limit(1 + int(FALSE_SHARE * n)).collect()]
-    least = max([0.5, *over[int(FALSE_SHARE * n) :]])
+    least = max(0.5, told.where("apart").agg(F.percentile_approx("probability", 1 - FALSE_SHARE, 1000000)).first()[0] or 0.0)
     told = told.where(F.col("probability") > least)
     shown = F.broadcast(templates(spark).select("family", "template", grams(F.col("text")).alias("all")))
     contained = F.size(F.array_intersect("seen", "all")) / F.size("all")
