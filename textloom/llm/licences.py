@@ -193,7 +193,11 @@ def scanned(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("row", "template").orderBy("at", F.desc("joined"))
     better = (F.lead("at").over(order) <= F.col("end")) & (F.lead("contained").over(order) >= F.col("contained"))
     better |= (F.lag("end").over(order) >= F.col("at")) & (F.lag("contained").over(order) > F.col("contained"))
-    ok = ok.withColumn("better", F.coalesce(better, F.lit(False))).where("not (joined and better)")
+    # a window that ends within a notice may hold most of a template that is much like the notice's own
+    most = 2 * max(len(t.split()) for ts in TEMPLATES.values() for t in ts)
+    near = F.collect_list(F.struct("at", "contained", "all")).over(Window.partitionBy("row").orderBy("at").rangeBetween(0, most))
+    like = lambda x: (x["at"] <= F.col("end")) & (x["contained"] > F.col("contained")) & (F.size(F.array_intersect("all", x["all"])) >= CONTAINED * F.size("all"))
+    ok = ok.withColumn("better", F.coalesce(better, F.lit(False)) | F.exists(near, like)).where("not (joined and better)")
     top = F.max(F.struct("contained", F.col("template"))).alias("t")
     out = ok.groupBy("doc_id", "row", "at", "joined", "family", "probability").agg(top)
     return out.select("doc_id", F.col("at").alias("paragraph"), "family", "probability", F.col("t.template").alias("template"), F.col("t.contained").alias("contained"))
