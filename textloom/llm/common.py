@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,30 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `stored` wrote; nothing that is still to be read may depend on it."""
+    for df in tables:
+        at = getattr(df, "stored_at", None)
+        if at:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that `df` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def held_out(n: int, r: int):
@@ -73,11 +97,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most_bytes` of text each, whole texts only, so that temporaries stay bounded."""
+    """The same rows in batches of about `most_bytes` of the column's texts or bytes each, whole ones only, so that temporaries stay bounded."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, off = text_bytes(batch.column(column))
+        off = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(off, off[at] + most_bytes, "right")) - 1)

@@ -196,9 +196,7 @@ def media_digests(media: DataFrame) -> DataFrame:
     """What is read back from each row of `media_of`: sizes, digests and features. Rows stay as they are, repeated ones too; a damaged medium raises."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, "media", 1 << 23):
             rows = []
             for i, n, m in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
                 payload, feature = decode(m)
