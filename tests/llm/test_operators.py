@@ -58,7 +58,9 @@ def test_near_duplicates_are_the_components_of_all_links(spark, monkeypatch):
             words[rng.randrange(len(words))] = rng.choice(WORDS)
         texts.append(" ".join(words) + ("" if n % 5 else " MORE"))
     data = list(enumerate(texts)) + [(200, None), (201, ""), (202, texts[0].upper()), (203, "few words"), (204, "few words"), (203, "few words"), (None, texts[3])]
-    got = bagminhash.near_duplicates(table(spark, [(i, t, "s") for i, t in data])).collect()
+    data += [(5, texts[3]), (5, prose(rng, 90)), (5, prose(rng, 80)), (None, prose(rng, 70)), (None, prose(rng, 60)), (None, None)]
+    docs = table(spark, [(i, t, "s") for i, t in data])
+    got = bagminhash.near_duplicates(docs.withColumn("row", F.lit(1)).withColumn("bands", F.lit(2))).collect()
     bag = [plain_bag(t or "") for _, t in data]
     group = list(range(len(data)))
     for i in range(len(data)):
@@ -69,15 +71,33 @@ def test_near_duplicates_are_the_components_of_all_links(spark, monkeypatch):
                 group = [b if g == a else g for g in group]
     want = {}
     for (i, _), g in zip(data, group):
-        want.setdefault(g, set()).add(i)
+        want.setdefault(g, []).append(i)
     have = {}
     for r in got:
-        have.setdefault(r["class_id"], set()).add(r["doc_id"])
+        have.setdefault(r["class_no"], []).append(r["doc_id"])
     assert len(got) == len(data)
-    assert sorted(map(str, have.values())) and {frozenset(v) for v in have.values()} == {frozenset(v) for v in want.values()}
-    kept = bagminhash.deduplicated(table(spark, [(i, t, "s") for i, t in data]))
-    assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")] and kept.count() == len(want)
-    assert bagminhash.near_duplicates(table(spark, [])).count() == 0
+    shape = lambda classes: sorted(sorted(map(str, v)) for v in classes.values())
+    assert shape(have) == shape(want)
+    for r in got:
+        assert r["class_id"] == min((i for i in have[r["class_no"]] if i is not None), default=None)
+    odd = docs.withColumnRenamed("node", "row").withColumn("class_no", F.lit("KEEP"))
+    kept = bagminhash.deduplicated(odd)
+    rows = kept.collect()
+    assert kept.columns == odd.columns and len(rows) == len(want) and all(r["row"] == 1 and r["class_no"] == "KEEP" for r in rows)
+    # one row of each class, of its least id
+    numbers = {}
+    for (i, t), g in zip(data, group):
+        numbers.setdefault((str(i), t), set()).add(g)
+    assert sorted(g for r in rows for g in numbers[str(r["doc_id"]), r["text"]]) == sorted(want)
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(min((i for i in v if i is not None), default=None)) for v in want.values())
+    assert bagminhash.near_duplicates(table(spark, [])).count() == bagminhash.deduplicated(table(spark, [])).count() == 0
+
+
+def test_overlaps_of_blocks_are_exact():
+    rng = np.random.default_rng(4)
+    bags = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 30, 50, 80)]
+    for own, row in zip(bags, bagminhash.shared_counts(bags, bags), strict=True):
+        assert row.tolist() == [len(np.intersect1d(own, b)) for b in bags]
 
 
 def test_fingerprints(spark, rows):
@@ -202,8 +222,30 @@ def test_mixing_inverts_the_poisson_distribution(spark, rows):
         have[r["doc_id"]] = have.get(r["doc_id"], 0) + 1
     assert have == {i: k for i, k in times.items() if k}
     assert mixing.mixed(table(spark, [])).count() == 0
-    with pytest.raises(Exception, match="repetitions"):
-        mixing.mixed(docs, {"": 1.0}, epochs=2.0).collect()
+    assert mixing.mixed(docs, {"": 1.0}, epochs=2.0).count() > 0
+    named = docs.withColumn("rate", F.lit("KEEP")).withColumn("times", F.lit("KEEP")).withColumn("source_of", F.lit("KEEP"))
+    assert {tuple(r) for r in mixing.mixed(named).select("rate", "times", "source_of").collect()} == {("KEEP",) * 3}
+
+
+def test_terms_bound_the_poisson_tail(spark):
+    rates = [0.1, 1.0, 16.0, 300.0]
+    got = spark.createDataFrame([(r,) for r in rates], "r double").select("r", mixing.terms(F.col("r")).alias("k"), F.size(mixing.distribution(F.col("r"))).alias("n")).collect()
+    for r in got:
+        tail = sum(math.exp(k * math.log(r["r"]) - r["r"] - math.lgamma(k + 1)) for k in range(r["k"] + 1, r["k"] + 500))
+        assert tail < 2**-53 and r["r"] < r["n"] <= r["k"] + 1
+
+
+def test_mixing_joins_many_sources_by_salt(spark, rows, monkeypatch):
+    docs = table(spark, rows)
+    want = sorted(map(str, mixing.mixed(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST", 1)
+    monkeypatch.setattr(mixing, "TABLED", 0.5)
+    assert sorted(map(str, mixing.mixed(docs).collect())) == want
+    monkeypatch.setattr(mixing, "PART_BYTES", 10_000)
+    parts = mixing.mixed(docs)
+    assert parts.rdd.getNumPartitions() > 4 and sorted(map(str, parts.collect())) == want
+    places = [r["place"] for r in parts.collect()]
+    assert places == sorted(places)
 
 
 def test_mixing_of_very_small_sources(spark):
