@@ -3,7 +3,9 @@
 import hashlib
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -100,53 +102,87 @@ def test_overlaps_of_blocks_are_exact():
         assert row.tolist() == [len(np.intersect1d(own, b)) for b in bags]
 
 
-def test_fingerprints(spark, rows):
-    got = fingerprints.fingerprints(table(spark, rows)).orderBy("n_chars").collect()
-    assert len(got) == len(rows)
+def paragraph_set(text):
+    """Distinct paragraphs and how often each occurs, without the operator's own keys."""
+    parts = [p.strip(" ") for p in re.split(r"\n+|(?<=[.!?])[ \t]+", text)]
+    return set(Counter(p for p in parts if p).items())
+
+
+def expected_fingerprints(rows):
+    """By id, the sorted (n_chars, sha256 of the edited text, likenesses) of rows in which ids that repeat have equal texts."""
     order = sorted(((-1 if i is None else i), t or "") for i, t, _ in rows)
-    pairs = [(i, t, order[(n + 1) % len(order)][1]) for n, (i, t) in enumerate(order)]
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     want = {}
-    for i, t, after in pairs:
-        half = len(t) // 2
-        want.setdefault(None if i == -1 else i, []).append((len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    for n, (i, t) in enumerate(order):
+        after = order[(n + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own = paragraph_set(t)
+        want.setdefault(None if i == -1 else i, []).append((len(t), hashlib.sha256(edited.encode()).hexdigest(), round(like(own, paragraph_set(edited)), 9), round(like(own, paragraph_set(after)), 9)))
+    return {k: sorted(v) for k, v in want.items()}
+
+
+def given_fingerprints(docs):
     have = {}
-    for r in got:
-        have.setdefault(r["doc_id"], []).append((r["n_chars"], r["edited_sha256"]))
-    assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
-    texts = spark.createDataFrame([(n, t, t[: len(t) - len(t) // 2] + a[: len(t) // 2], a) for n, (_, t, a) in enumerate(pairs)], "n long, own string, changed string, following string")
-    sets = texts.select("n", *(fingerprints.keys(F.col(c)).alias(c) for c in ("own", "changed", "following"))).collect()
-    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    exact = {}
-    for r, (i, t, _) in zip(sorted(sets), pairs):
-        exact.setdefault(None if i == -1 else i, []).append((like(set(r["own"]), set(r["changed"])), like(set(r["own"]), set(r["following"]))))
-    near = {}
-    for r in got:
-        near.setdefault(r["doc_id"], []).append((r["near_edited"], r["near_next"]))
-    for k, v in near.items():
-        assert [x for p in sorted(v) for x in p] == pytest.approx([x for p in sorted(exact[k]) for x in p])
-    by_text = {}
-    for r in got:
-        by_text.setdefault(r["n_chars"], set()).add(r["fingerprint"])
-    assert len(by_text[3]) == 1
+    for r in fingerprints.fingerprints(docs).collect():
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        have.setdefault(r["doc_id"], []).append((r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)))
+    return {k: sorted(v) for k, v in have.items()}
+
+
+def test_fingerprints(spark, rows, monkeypatch):
+    many = rows + [(1, rows[1][1], "s")] * 3 + [(200, "one two. three four. five six", "s")] * 3 + [(None, "no id at all", "s1")] * 4
+    want = expected_fingerprints(many)
+    assert given_fingerprints(table(spark, many)) == want
+    monkeypatch.setattr(fingerprints, "RANGE", 2000)
+    monkeypatch.setattr(fingerprints, "LEAVES", 8)
+    assert given_fingerprints(table(spark, many)) == want
+    prints = {}
+    for r in fingerprints.fingerprints(table(spark, many)).collect():
+        prints.setdefault(r["n_chars"], set()).add(r["fingerprint"])
+    assert len(prints[3]) == 1 and all(len(p.split(":")[1].split("-")) == fingerprints.WRITTEN for v in prints.values() for p in v)
     assert fingerprints.fingerprints(table(spark, [])).count() == 0
     one = fingerprints.fingerprints(table(spark, [(5, "a b. c d", "s")])).first()
     assert one["near_next"] == 1.0
 
 
+def test_ids_that_fill_ranges_are_cut_by_text(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE", 300)
+    rng = random.Random(7)
+    same = [(n, prose(rng, 12), "s") for n in range(30)] + [(7, "all equal. rows here", "s")] * 60 + [(None, "none. at all", "s")] * 40
+    want = expected_fingerprints([r for r in same if r[0] != 7])
+    got = given_fingerprints(table(spark, [r for r in same if r[0] != 7]))
+    assert got == want
+    assert sum(map(len, given_fingerprints(table(spark, same)).values())) == len(same)
+    hot = fingerprints.with_next(table(spark, same))
+    assert hot.agg(F.sum("times")).first()[0] == len(same) and hot.where("times > 1").count() >= 1
+
+
 def test_sketches_recover_keys_of_any_number(spark):
     rng = random.Random(1)
+    fresh = lambda n: [rng.randrange(-(2**63), 2**63) for _ in range(n)]
     data = []
-    for n, (a, b) in enumerate([(0, 0), (1, 0), (3, 9), (40, 41), (700, 650)]):
-        both = [rng.randrange(-(2**63), 2**63) for _ in range(20)]
-        data.append((n, 0, sorted(both + [rng.randrange(-(2**63), 2**63) for _ in range(a)]), sorted(both + [rng.randrange(-(2**63), 2**63) for _ in range(b)])))
-    df = spark.createDataFrame(data, "id long, which int, more array<bigint>, less array<bigint>")
-    got = {r["id"]: (r["gone"], r["come"], r["size"]) for r in fingerprints.differences(df).collect()}
-    assert got == {0: (0, 0, 40), 1: (1, 0, 41), 2: (3, 9, 52), 3: (40, 41, 121), 4: (700, 650, 1390)}
-    found = df.where("id < 3").select("id", fingerprints.recovered(fingerprints.signed(F.col("more"), F.col("less"))).alias("f")).collect()
-    for r, (_, _, more, less) in zip(sorted(found), data):
+    for n, (a, b, c) in enumerate([(0, 0, 0), (1, 0, 3), (3, 9, 0), (40, 41, 2), (700, 650, 1)]):
+        both = fresh(20)
+        data.append((n, sorted(both + fresh(a)), sorted(both + fresh(b)), sorted(both + fresh(c))))
+    df = spark.createDataFrame(data, "row long, own array<bigint>, changed array<bigint>, following array<bigint>")
+    apart = lambda a, b: (len(set(a) - set(b)), len(set(b) - set(a)))
+    got = {r["row"]: (tuple(r["changed"]), tuple(r["following"])) for r in fingerprints.differences(df).collect()}
+    assert got == {n: (apart(a, b), apart(a, c)) for n, a, b, c in data}
+    found = df.where("row < 3").select("row", F.expr(fingerprints.recovered("own", "changed", fingerprints.CELLS)).alias("f")).collect()
+    for r, (_, more, less, _) in zip(sorted(found), data):
         assert {(x["key"], x["sign"]) for x in r["f"]} == {(k, 1) for k in set(more) - set(less)} | {(k, -1) for k in set(less) - set(more)}
 
 
+def test_sketches_that_fail_get_other_hashes(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "CELLS", (6, 9))
+    rng = random.Random(2)
+    data = [(n, sorted(rng.randrange(-(2**63), 2**63) for _ in range(30)), [], []) for n in range(3)]
+    df = spark.createDataFrame(data, "row long, own array<bigint>, changed array<bigint>, following array<bigint>")
+    assert {r["row"]: r["changed"]["gone"] for r in fingerprints.differences(df).collect()} == {0: 30, 1: 30, 2: 30}
+    six = fingerprints.peeled(fingerprints.subtracted(fingerprints.sketch("own", 6), fingerprints.sketch("changed", 6)), 6)
+    assert df.select(F.expr(six).alias("f")).where("f is not null").count() == 0
+
+
 PAGES = [
     (1, "http://A.example.com/en/7198#top", '<a href="https://b.example.org/x">'), (2, "https://a.example.com/en/6?x", "see c.example.net or b.example.org"), (3, "http://b.example.org", None),
     (4, "no scheme", "x"), (5, None, "a.example.com"), (6, "https://c.example.net/de/81", ""), (7, "https://c.example.net/de/71?q=/en/", "mail me@a.example.com"), (8, "http://c.example.net/fr", ""),
