@@ -80,16 +80,18 @@ def test_hilbert_keys_visit_every_cell_by_neighbours():
 
 
 def test_the_last_sequences_are_powers_of_two():
-    cut = packing.Cutter(7, 16)
-    for n, size in enumerate((5, 40, 1)):
-        cut.add(n, np.arange(size, dtype=np.uint32))
-    cut.end()
-    length = {}
-    for doc, start, n, crc, total, sequence, offset in cut.rows:
-        assert offset == length.get(sequence, 0)
-        length[sequence] = offset + n
-        assert crc == zlib.crc32(np.arange(start, start + n, dtype="<u4").tobytes()) and total == (5, 40, 1)[doc]
-    assert list(length.values()) == [16, 16, 8, 4, 2] and list(length) == [7, 8, 9, 10, 11]
+    cuts, place, length, ends = packing.Cuts(46, 16), 0, {}, []
+    for size in (5, 40, 1):
+        ids = np.arange(size, dtype=np.uint16)
+        seen = 0
+        for start, n, crc, sequence, offset in cuts.pieces(place, ids):
+            assert start == seen and offset == length.get(sequence, 0)
+            length[sequence], seen = offset + n, start + n
+            assert crc == zlib.crc32(np.arange(start, start + n, dtype="<u4").tobytes())
+        assert seen == size
+        place += size
+        ends.append(place)
+    assert list(length.values()) == [16, 16, 8, 4, 2] and list(length) == [0, 1, 2, 3, 4]
 
 
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 254, 255, 256, 2048, 5000, 70_000])

@@ -233,10 +233,27 @@ def test_packing_keeps_every_id(spark, rows):
         at[r["doc_id"]] = at.get(r["doc_id"], 0) + r["length"]
         assert ids
     assert at == {i: sum(map(len, x)) for i, x in want.items()}
-    assert all(n == 2048 or n & (n - 1) == 0 for n in sequences.values())
+    assert sum(n < 2048 for n in sequences.values()) == bin(sum(map(len, (x for v in want.values() for x in v))) % 2048).count("1")
+    assert all(n & (n - 1) == 0 for n in sequences.values()) and sorted(sequences) == list(range(len(sequences)))
     assert packing.packed(table(spark, []), public_tokenizers.path(packing.TOKENIZER)).count() == 0
 
 
+def test_packing_is_alike_however_the_work_is_dealt(spark, rows, monkeypatch):
+    docs, path = table(spark, rows), public_tokenizers.path(packing.TOKENIZER)
+    want = sorted(map(str, packing.packed(docs, path).collect()))
+    monkeypatch.setattr(packing, "RANGE_CHARS", 5000)
+    monkeypatch.setattr(packing, "BOUND_ROWS", 10)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("2", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        assert sorted(map(str, packing.packed(docs.repartition(int(n)), path).collect())) == want
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    # neighbours of a sequence lie near each other on the curve
+    place = {i: packing.curve_keys(pa.array([t or ""]))[0] for i, t, _ in rows}
+    order = [place[r["doc_id"]] for r in sorted(packing.packed(docs, path).collect(), key=lambda r: (r["sequence_id"], r["offset"]))]
+    assert order == sorted(order)
+
+
 def test_mixing_inverts_the_poisson_distribution(spark, rows):
     docs = table(spark, rows)
     got = mixing.mixed(docs, {"s0": 1.0, "s1": 3.0, "absent": 9.0}, epochs=2.0).collect()

@@ -1,4 +1,4 @@
-"""Packing along a space-filling curve: documents are ordered by the Hilbert key of their hashed vectors and cut into sequences."""
+"""Packing along a space-filling curve: documents are ordered by the Hilbert key of their hashed vectors, and their ids cut into sequences."""
 
 from __future__ import annotations
 
@@ -13,15 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import mix64, slices, span_hashes, table, words_of
+from textloom.llm.common import mix64, slices, span_hashes, stored, table, words_of
 
 TOKENIZER = "byte_bpe_50k.json"
 LENGTH, END = 2048, 1
 BUCKETS, DIMS, BITS = 256, 3, 10
 #: Distinct pieces of text whose ids a Python worker remembers.
 REMEMBERED = 1_000_000
-#: Characters of text that one task should order and cut, a quarter of them a range of the curve; rows whose keys give the bounds of ranges, or 20 a range.
-RANGE_BYTES, BOUND_ROWS = 64 << 20, 20_000
+#: Characters of text in one range of the curve, which one task orders, and the most ranges; rows whose keys give the bounds of ranges, or 20 a range.
+RANGE_CHARS, MOST_RANGES, BOUND_ROWS = 16 << 20, 50_000, 20_000
 
 # ---- order ------------------------------------------------------------------------------------------------------
 
@@ -73,20 +73,15 @@ def curve_keys(column: pa.Array) -> np.ndarray:
     return hilbert((point * (1 << BITS)).astype(np.int64), BITS)
 
 
-KEYED = "doc_id long, text string, place long, range long"
+def _places(batch: pa.RecordBatch) -> np.ndarray:
+    """The Hilbert key of each text above 33 bits of a hash of id and text, so that ties and copies spread over the curve's cell."""
+    salt = batch.column("salt").to_numpy().view(np.uint64) >> np.uint64(31)
+    return ((curve_keys(batch.column("text")) << np.uint64(33)) | salt).view(np.int64)
 
 
-def _keyed(bounds: np.ndarray):
-    """Adds place, the Hilbert key above 33 bits of a hash of id and text, so that ties and copies spread over the curve's cell, and its range."""
-
-    def run(batches):
-        for batch in slices(batches, "text", 1 << 22):
-            salt = batch.column("salt").to_numpy().view(np.uint64) >> np.uint64(31)
-            place = ((curve_keys(batch.column("text")) << np.uint64(33)) | salt).view(np.int64)
-            own = np.searchsorted(bounds, place, "right")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(place), pa.array(own, pa.int64())], ["doc_id", "text", "place", "range"])
-
-    return run
+def _placed(batches):
+    for batch in slices(batches, "text", 1 << 22):
+        yield pa.RecordBatch.from_arrays([pa.array(_places(batch))], ["place"])
 
 
 # ---- tokens -----------------------------------------------------------------------------------------------------
@@ -106,6 +101,7 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.ranked = self._ranked(path)
         self.kinds = self._kinds()
         self.forget()
@@ -233,71 +229,78 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def closing(left: int) -> list[int]:
-    """Lengths of the last sequences of a range: powers of two that add up to what is left, so that none of them is padded."""
+    """Lengths of the last sequences: powers of two that add up to what is left, so that none of them is padded."""
     return [1 << b for b in range(left.bit_length() - 1, -1, -1) if left >> b & 1]
 
 
-class Cutter:
-    """Cuts a run of documents into sequences of `length` ids, numbering them from a range's first number."""
-
-    def __init__(self, sequence: int, length: int):
-        self.sequence, self.length, self.filled = sequence, length, 0
-        self.open: list[list] = []
-        self.rest: list[np.ndarray] = []
-        self.rows: list[tuple] = []
-
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        at, total = 0, len(ids)
-        while at < total:
-            n = min(total - at, self.length - self.filled)
-            self.open.append([doc_id, at, n, total])
-            self.rest.append(ids[at : at + n])
-            at, self.filled = at + n, self.filled + n
-            if self.filled == self.length:
-                self._close([self.length])
-
-    def _close(self, lengths: list[int]) -> None:
-        k, offset = 0, 0
-        for (doc_id, start, n, total), ids in zip(self.open, self.rest, strict=True):
-            at = 0
-            while at < n:
-                m = min(n - at, lengths[k] - offset)
-                crc = zlib.crc32(ids[at : at + m].astype("<u4").tobytes())
-                self.rows.append((doc_id, start + at, m, crc, total, self.sequence, offset))
-                at, offset = at + m, offset + m
-                if offset == lengths[k]:
-                    self.sequence, k, offset = self.sequence + 1, k + 1, 0
-        self.open, self.rest, self.filled = [], [], 0
-
-    def end(self) -> None:
-        if self.filled:
-            self._close(closing(self.filled))
-
-
-def _pack(path: str, length: int):
-    def run(batches):
-        cutter, own, names = None, None, [c.split()[0] for c in PIECES.split(", ")]
+class Cuts:
+    """Where sequences of `length` ids lie in `total` ids, one after the other."""
 
-        def taken():
-            rows, cutter.rows = cutter.rows, []
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
+    def __init__(self, total: int, length: int):
+        self.length, self.full = length, total // length * length
+        self.last = np.cumsum([self.full, *closing(total - self.full)])
 
+    def at(self, place: int) -> tuple[int, int, int]:
+        """(sequence, offset, ids from there to its end) at one place."""
+        if place < self.full:
+            return place // self.length, place % self.length, self.length - place % self.length
+        n = int(np.searchsorted(self.last, place, "right")) - 1
+        return self.full // self.length + n, place - int(self.last[n]), int(self.last[n + 1]) - place
+
+    def pieces(self, place: int, ids: np.ndarray):
+        """(start, length, crc, sequence, offset) of each piece of a document whose ids begin at a place."""
+        raw, at = ids.astype("<u4").tobytes(), 0
+        while at < len(ids):
+            sequence, offset, room = self.at(place + at)
+            n = min(room, len(ids) - at)
+            yield at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), sequence, offset
+            at += n
+
+
+def _encoded(path: str, bounds: np.ndarray):
+    """Each text's ids with the closing id, as little-endian numbers of 16 or 32 bits, its place, and its range of the curve."""
+
+    def run(batches):
         for batch in slices(batches, "text", 1 << 22):
-            ids, first = tokens(path).ids([t or "" for t in batch.column("text").to_pylist()])
-            for n, (r, doc_id) in enumerate(zip(batch.column("range").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
+            own = tokens(path)
+            ids, first = own.ids(batch.column("text").to_pylist())
+            ids = ids.astype(own.kind)
+            end = np.array([END], own.kind).tobytes()
+            held = [ids[a:b].tobytes() + end for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            place = _places(batch)
+            part = np.searchsorted(bounds, place, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(place), pa.array(part), pa.array(held, pa.binary())], ["doc_id", "place", "range", "ids"])
+
+    return run
+
+
+def _counted(width: int):
+    """Adds to rows in order how many ids of their range stand before them."""
+
+    def run(batches):
+        own, before = None, 0
+        for batch in batches:
+            n = np.array([len(x) for x in batch.column("ids").to_pylist()], np.int64) // width
+            part = batch.column("range").to_numpy()
+            start = np.empty(len(n), np.int64)
+            for i, (r, k) in enumerate(zip(part.tolist(), n.tolist(), strict=True)):
                 if r != own:
-                    if cutter:
-                        cutter.end()
-                        if cutter.rows:
-                            yield taken()
-                    cutter, own = Cutter(r << 40, length), r
-                cutter.add(doc_id, np.append(ids[first[n] : first[n + 1]], np.uint32(END)))
-            if cutter and cutter.rows:
-                yield taken()
-        if cutter:
-            cutter.end()
-            if cutter.rows:
-                yield taken()
+                    own, before = r, 0
+                start[i] = before
+                before += k
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("range"), pa.array(start), pa.array(n), batch.column("ids")], ["doc_id", "range", "before", "n", "ids"])
+
+    return run
+
+
+def _cut(first: np.ndarray, total: int, length: int, kind: np.dtype):
+    def run(batches):
+        cuts, names = Cuts(total, length), [c.split()[0] for c in PIECES.split(", ")]
+        for batch in slices(batches, "ids", 1 << 22):
+            rows = []
+            for doc_id, r, before, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "range", "before", "n", "ids")), strict=True):
+                rows += [(doc_id, start, k, crc, n, sequence, offset) for start, k, crc, sequence, offset in cuts.pieces(int(first[r]) + before, np.frombuffer(raw, kind))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
 
     return run
 
@@ -305,26 +308,34 @@ def _pack(path: str, length: int):
 def packed(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """Pieces of documents in sequences of at most `length` ids, neighbours along the curve in the same sequence.
 
-    Every document's ids end with id 1. Ranges of the curve are cut on their own, each task one after the other in order of
-    place; only the last ids of a range fill shorter sequences, each a power of two long, so nothing is padded. The bounds of ranges
-    come from the keys of a hash sample of documents, as a range partitioner's do; they move work, not results' completeness.
+    Every document's ids end with id 1. All documents stand in one order along the curve, and a sequence is the next `length` of
+    all their ids, so all are full but the last ones, which are each a power of two long: nothing is padded. Ranges of the curve
+    only deal out the work: each task orders one and counts its ids, the ranges' sums say where each begins, and no result
+    depends on the bounds. These come from the keys of a hash sample of documents, as a range partitioner's do, and how many
+    there are from the characters of all texts.
 
     Null texts are empty and hold id 1 alone. Rows that repeat a doc_id, copies and ties are packed one by one. Null ids stay
     null; an empty table gives no piece. Other columns are ignored.
     """
-    spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = text.withColumn("salt", F.xxhash64("doc_id", "text"))
-    size = text.agg(F.count("*"), F.sum(F.length("text"))).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size[1] or 0) / RANGE_BYTES))
-    ranges = 4 * parts
-    share = max(1, size[0] // max(BOUND_ROWS, 20 * ranges))
-    some = keyed.where(F.pmod("salt", F.lit(share)) == 0).mapInArrow(_keyed(np.zeros(0, np.int64)), KEYED)
-    found = some.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
-    bounds = np.unique(np.array(found or [], np.int64))
-    placed = keyed.mapInArrow(_keyed(bounds), KEYED)
-    ordered = placed.repartition(parts, "range").sortWithinPartitions("range", "place", "doc_id")
-    return ordered.select("doc_id", "text", "range").mapInArrow(_pack(path, length), PIECES)
+    size = text.agg(F.count("*"), F.sum(F.length("text").cast("long"))).first()
+    ranges = min(MOST_RANGES, max(1, math.ceil((size[1] or 0) / RANGE_CHARS)))
+    found = []
+    if ranges > 1:
+        share = max(1, size[0] // max(BOUND_ROWS, 20 * ranges))
+        some = keyed.where(F.pmod("salt", F.lit(share)) == 0).mapInArrow(_placed, "place long")
+        found = some.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
+    bounds = np.unique(np.array(found, np.int64))
+    kind = tokens(path).kind
+    ids = keyed.mapInArrow(_encoded(path, bounds), "doc_id long, place long, range int, ids binary")
+    ordered = ids.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("place", "doc_id", "ids")
+    counted = stored(ordered.mapInArrow(_counted(kind.itemsize), "doc_id long, range int, before long, n long, ids binary"))
+    first = np.zeros(len(bounds) + 2, np.int64)
+    for r in counted.groupBy("range").agg(F.sum("n").alias("n")).collect():  # at most MOST_RANGES rows
+        first[r["range"] + 1] = r["n"]
+    first = np.cumsum(first)
+    return counted.mapInArrow(_cut(first, int(first[-1]), length, kind), PIECES)
 
 
 def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
