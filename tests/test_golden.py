@@ -10,6 +10,7 @@ from textloom.operators import search, spelling
 from textloom.operators.index import Index, document_weights, merged, occurrences, postings
 from textloom.plans.parser import clean_word, normal, operands, pattern_grams
 
+# The corpus, queries and expectations that results must match.
 BODIES = ["This is a test document.", "Another testing document is here.", "Here we go, a third one.", "Test test! Test test test.", "Document testing goes here."]
 POSTINGS = {
     "a": {0: [2], 2: [3]}, "anoth": {1: [0]}, "document": {0: [4], 1: [2], 4: [0]}, "go": {2: [2]}, "goe": {4: [2]}, "here": {1: [4], 2: [0], 4: [3]},
@@ -86,6 +87,14 @@ def test_ranked(index):
     assert scored("test test")[3] == pytest.approx(2 * 0.810930, abs=1e-5)
 
 
+def test_corrections_stand_where_the_words_stood(spark):
+    docs = spark.createDataFrame([(0, "the theater here there")], "doc_id long, text string")
+    index = Index.build(docs, stemmed=False)
+    assert spelling.corrected(index, "th theater") == "the theater"
+    assert spelling.corrected(index, "(th) + theater, th") == "(the) + theater, the"
+    assert spelling.corrected(index, "  th   theater ", ranked=True) == "the theater"
+
+
 @pytest.mark.parametrize(
     ("query", "ranked", "want"),
     [
@@ -138,12 +147,20 @@ def test_engine(spark, tmp_path):
     for n, body in enumerate(BODIES, 1):
         (folder / f"doc{n}.json").write_text(json.dumps({"title": f"Fake {n}", "url": "https://www.fake.url", "body": body}))
     engine = SearchEngine.build(spark, str(folder), str(tmp_path / "index"))
-    assert engine.summary() == {"doc_count": 5, "term_count": 12}
+    assert engine.test() == {"response": "hello"}
+    told = engine.summary()
+    assert (told["doc_count"], told["term_count"], told["files"], told["terms"][:3]) == (5, 12, [f"doc{n}.json" for n in range(1, 6)], ["a", "anoth", "document"])
     got = engine.query("tesp documant")
     assert got["doc_ids"] == [] and got["spell_corrected"] == "test document"
     got = engine.query("document test a", ranked=True)
-    assert got["doc_ids"] == [0, 4, 3, 1, 2] and got["contents"][0]["file"] == "doc1.json"
-    letters = {r["letter"]: r["terms"] for r in engine.terms_by_letter().collect()}
-    assert letters["t"] == ["test", "third", "this"] and "" not in letters
+    assert got["doc_ids"] == [0, 4, 3, 1, 2] and got["files"][0] == "doc1.json" and got["contents"]["doc1.json"] == BODIES[0] and len(got["scores"]) == 5
+    letters = [(r["letter"], r["term"]) for r in engine.terms_by_letter().collect()]
+    assert [t for x, t in letters if x == "t"] == ["test", "third", "this"] and "" not in dict(letters)
+    first = engine.query("test", size=3)
+    assert first["doc_ids"] == [0, 1, 3] and first["next"] == 3
+    rest = engine.query("test", size=3, after=first["next"])
+    assert rest["doc_ids"] == [4] and rest["next"] is None
+    assert [r["doc_id"] for r in engine.each("test")] == [0, 1, 3, 4]
+    assert json.loads(engine.query_json(":stem goes")) == {"term": "goes", "stemmed_term": "goe"}
     assert engine.stem("goes")["stemmed_term"] == "goe"
     assert json.loads(engine.query_json("goes"))["doc_ids"] == [4]

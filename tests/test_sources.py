@@ -18,10 +18,11 @@ def test_numbers_follow_file_names(spark, tmp_path):
 def test_arrays_and_scripts(spark, tmp_path):
     (tmp_path / "all.json").write_text(json.dumps({"data": [{"body": "x"}, {"body": "y"}]}))
     assert [tuple(r) for r in ingest.split_array(spark, str(tmp_path / "all.json"), "data", "struct<body:string>").orderBy("file_num").collect()] == [(1, "x"), (2, "y")]
-    (tmp_path / "scripts/drama").mkdir(parents=True)
-    (tmp_path / "scripts/drama/one.v2.txt").write_text("  Back to IMSDb<script>\nTitle\\r line\nrest </b> \n")
+    (tmp_path / "scripts/dark drama").mkdir(parents=True)
+    (tmp_path / "scripts/dark drama/one.v2.txt").write_text("  Back to IMSDb<script>\nTitle\\r line\nrest </b> \n")
     got = ingest.read_scripts(spark, str(tmp_path / "scripts")).collect()
-    assert [tuple(r) for r in got] == [("one", "Title line", "drama", "Title line\nrest")]
+    assert [tuple(r) for r in got] == [("one", "Title line", "dark drama", "Title line\nrest")]
+    assert ingest.read_scripts(spark, str(tmp_path / "scripts"), most=0).count() == 0
 
 
 def test_csv_round_trip(spark, tmp_path):

@@ -36,8 +36,3 @@ def kgrams(word: Column, k: int = GRAM) -> Column:
         return F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
 
     return F.array_distinct(F.flatten(F.array(*(of(n) for n in range(1, k + 1)))))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Shared over all members of two arrays of distinct members; 0 for two empty ones."""
-    return F.get(F.transform(F.array(F.size(F.array_intersect(a, b))), lambda n: n / F.greatest(F.size(a) + F.size(b) - n, F.lit(1))), 0)

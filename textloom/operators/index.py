@@ -26,12 +26,32 @@ def occurrences(docs: DataFrame, stemmed: bool = True) -> DataFrame:
     return parts.join(stems, "part").select("doc_id", "pos", "term")
 
 
+def by_document(docs: DataFrame) -> DataFrame:
+    """docs with each document in one task, so that what is counted by document needs no further shuffle: texts move, not occurrences."""
+    return docs.repartition("doc_id")
+
+
 def postings(found: DataFrame) -> DataFrame:
     """(term, doc_id, tf, positions): one row for each term of each document, positions ascending with repeats."""
-    own = found.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    own = found.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     return own.select("term", "doc_id", F.size("positions").alias("tf"), "positions")
 
 
+def frequencies(found: DataFrame) -> DataFrame:
+    """(term, doc_id, tf): postings where positions aren't asked for, counted without lists."""
+    return found.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf")).select("term", "doc_id", "tf")
+
+
+def indexed(docs: DataFrame, stemmed: bool = True) -> DataFrame:
+    """Postings of documents. Words are gathered by document; only these shorter rows meet their stems, and terms of several words are joined."""
+    own = postings(occurrences(by_document(docs), False))
+    if not stemmed:
+        return own
+    stems = own.select(F.col("term").alias("part")).distinct().select("part", stem_udf("part").alias("stem"))
+    named = own.withColumnRenamed("term", "part").join(stems, "part")
+    return merged(named.select(F.col("stem").alias("term"), "doc_id", "positions"))
+
+
 def vocabulary(of: DataFrame) -> DataFrame:
     """(term, df, cf)."""
     return of.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -48,6 +68,12 @@ def vocabulary_words(docs: DataFrame, stemmed: bool = True) -> DataFrame:
     return own.select("word", (stem_udf("word") if stemmed else F.col("word")).alias("term"))
 
 
+def gram_index(words: DataFrame) -> DataFrame:
+    """(gram, word, term, size): the words of each k-gram, and how many distinct k-grams a word has."""
+    own = words.withColumn("grams", kgrams(F.col("word")))
+    return own.select(F.explode("grams").alias("gram"), "word", "term", F.size("grams").alias("size"))
+
+
 def merged(*parts: DataFrame) -> DataFrame:
     """Postings of blocks of documents as one: positions of a term in a document that stand in several blocks are joined."""
     every = parts[0]
@@ -67,12 +93,13 @@ class Index:
     stemmed: bool = True
     saved_vocabulary: DataFrame | None = None
     saved_weights: DataFrame | None = None
+    saved_grams: DataFrame | None = None
 
     @staticmethod
     def build(docs: DataFrame, stemmed: bool = True) -> Index:
         """docs: (doc_id, text); other columns are ignored."""
         own = docs.select("doc_id", "text")
-        return Index(postings(occurrences(own, stemmed)), vocabulary_words(own, stemmed), own.count(), stemmed)
+        return Index(indexed(own, stemmed), vocabulary_words(own, stemmed), own.count(), stemmed)
 
     @cached_property
     def vocabulary(self) -> DataFrame:
@@ -82,25 +109,27 @@ class Index:
     def weights(self) -> DataFrame:
         return self.saved_weights if self.saved_weights is not None else document_weights(self.postings)
 
-    @property
+    @cached_property
     def kgrams(self) -> DataFrame:
-        """(gram, word)."""
-        return self.words.select(F.explode(kgrams(F.col("word"))).alias("gram"), "word")
+        """(gram, word, term, size)."""
+        return self.saved_grams if self.saved_grams is not None else gram_index(self.words)
 
     def write(self, path: str) -> Index:
-        """Postings by ranges of terms, sorted, so that a term's row groups can be found by their bounds; returns the index read back."""
+        """Postings by ranges of terms and k-grams by ranges of grams, sorted, so that row groups can be found by their bounds; returns the index read back."""
         spark = self.postings.sparkSession
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.postings.repartitionByRange(n, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        kept = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        kept.write.mode("overwrite").parquet(f"{path}/postings")
         of = spark.read.parquet(f"{path}/postings")
-        vocabulary(of.select("term", "tf")).repartitionByRange(n, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+        vocabulary(of.select("term", "tf")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
         document_weights(of.select("doc_id", "tf")).write.mode("overwrite").parquet(f"{path}/weights")
         self.words.write.mode("overwrite").parquet(f"{path}/words")
+        grams = gram_index(spark.read.parquet(f"{path}/words"))
+        grams.repartitionByRange("gram", "word").sortWithinPartitions("gram", "word").write.mode("overwrite").parquet(f"{path}/kgrams")
         spark.range(1).select(F.lit(self.size).cast("long").alias("size"), F.lit(self.stemmed).alias("stemmed")).write.mode("overwrite").parquet(f"{path}/facts")
         return Index.read(spark, path)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
         facts = spark.read.parquet(f"{path}/facts").first()
-        of, words, vocab, weights = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "words", "vocabulary", "weights"))
-        return Index(of, words, facts["size"], facts["stemmed"], vocab, weights)
+        of, words, vocab, weights, grams = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "words", "vocabulary", "weights", "kgrams"))
+        return Index(of, words, facts["size"], facts["stemmed"], vocab, weights, grams)

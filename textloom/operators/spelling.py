@@ -4,44 +4,47 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.porter2 import stem_udf
-from textloom.functions.text import clean, jaccard, kgrams
+from textloom.functions.text import GRAM, clean
 from textloom.operators.index import Index
 from textloom.plans.parser import clean_word
 
 OVERLAP = 0.35
 
 
-def asked(index: Index, words: list[str]) -> DataFrame:
-    """(asked): a few words as a table."""
-    rows = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    return index.words.sparkSession.range(1).select(F.explode(rows).alias("asked"))
+def grams_of(word: str, k: int = GRAM) -> set[str]:
+    """As functions.text.kgrams, for one word of a query."""
+    padded = f"${word}$"
+    return {padded[i : i + n] for n in range(1, k + 1) for i in range(len(padded) - n + 1)}
 
 
 def close_words(index: Index, words: list[str], overlap: float = OVERLAP) -> DataFrame:
     """(asked, word, overlap): vocabulary words whose k-grams overlap by more than `overlap` with those of an asked word.
 
-    The query's few words meet the vocabulary in one scan, as an array in each of its rows; as `$` is a gram of every word, an
-    index by gram would bring up the whole vocabulary too.
+    Only the asked words' grams are read from the k-gram index, and counted by word. `$` is a gram of every word and is added
+    without being read; two words that share it alone overlap by a third at most.
     """
     if not words:
         return index.words.where(F.lit(False)).select(F.lit("").alias("asked"), "word", F.lit(0.0).alias("overlap"))
-    told = F.array(*(F.struct(F.lit(w).alias("asked"), kgrams(F.lit(w)).alias("grams")) for w in words))
-    rows = index.words.select("word", kgrams(F.col("word")).alias("own")).select("word", "own", F.explode(told).alias("q"))
+    told = {w: grams_of(w) - {"$"} for w in words}
+    rows = F.array(*(F.struct(F.lit(w).alias("asked"), F.lit(g).alias("gram"), F.lit(len(gs) + 1).alias("many")) for w, gs in told.items() for g in sorted(gs)))
+    wanted = index.words.sparkSession.range(1).select(F.explode(rows).alias("q")).select("q.*")
+    grams = sorted(set().union(*told.values()))
     # no overlap exceeds the share of the smaller set in the larger
-    few, many = F.least(F.size("own"), F.size("q.grams")), F.greatest(F.size("own"), F.size("q.grams"))
-    rows = rows.where(few > overlap * many).select("q.asked", "word", jaccard(F.col("own"), F.col("q.grams")).alias("overlap"))
-    return rows.where(F.col("overlap") > overlap)
+    near = index.kgrams.where(F.col("gram").isin(grams)).join(F.broadcast(wanted), "gram").where(F.least("size", "many") > overlap * F.greatest("size", "many"))
+    shared = near.groupBy("asked", "word", "size", "many").agg((F.count("*") + 1).alias("n"))
+    found = shared.select("asked", "word", (F.col("n") / (F.col("size") + F.col("many") - F.col("n"))).alias("overlap"))
+    return found.where(F.col("overlap") > overlap)
 
 
 def candidates(index: Index, words: list[str], overlap: float = OVERLAP) -> DataFrame:
     """(asked, word, distance): of the close words, all at the least edit distance."""
-    near = close_words(index, words, overlap).withColumn("distance", F.levenshtein("asked", "word"))
-    near = near.withColumn("least", F.min("distance").over(Window.partitionBy("asked")))
-    return near.where("distance = least").select("asked", "word", "distance")
+    near = close_words(index, words, overlap).select("asked", "word", F.levenshtein("asked", "word").alias("distance"))
+    least = near.groupBy("asked").agg(F.min("distance").alias("distance"))
+    return near.join(F.broadcast(least), ["asked", "distance"]).select("asked", "word", "distance")
 
 
 def best(index: Index, words: list[str], overlap: float = OVERLAP) -> DataFrame:
@@ -49,27 +52,26 @@ def best(index: Index, words: list[str], overlap: float = OVERLAP) -> DataFrame:
     found = candidates(index, words, overlap).withColumn("cleaned", clean(F.col("word")))
     found = found.withColumn("term", stem_udf("cleaned") if index.stemmed else F.col("cleaned"))
     known = found.join(index.vocabulary.select("term", "df"), "term", "left").select("asked", "word", F.coalesce("df", F.lit(0)).alias("df"))
-    order = Window.partitionBy("asked").orderBy(F.desc("df"), "word")
-    return known.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("asked", "word", "df")
+    top = known.groupBy("asked").agg(F.min_by("word", F.struct((-F.col("df")).alias("df"), "word")).alias("word"), F.max("df").alias("df"))
+    return top.select("asked", "word", "df")
 
 
 def corrected(index: Index, query: str, ranked: bool = False) -> str | None:
-    """The query with unknown words replaced, or None if nothing changes or a word has no candidate.
+    """The query with unknown words replaced where they stand, or None if all are known or one has no candidate.
 
-    A ranked query is cut at white space and joined again; a boolean query keeps its symbols, and a correction replaces every
-    place where the word's letters stand. Known are the words that, cleaned, are terms of the index.
+    Known are the words that, cleaned, are terms of the index; wildcards are left alone. The words of a ranked query are what
+    stands between white space, of which one blank is kept; those of a boolean query are runs of letters, digits and
+    underscores, and all its symbols stay.
     """
-    words = query.split() if ranked else re.findall(r"\w+", query)
-    plain = [w for w in words if "*" not in w]
-    known = {r["term"] for r in index.vocabulary.where(F.col("term").isin(sorted({clean_word(w) for w in plain}))).select("term").collect()}
-    unknown = sorted({w for w in plain if clean_word(w) not in known})
-    found = {r["asked"]: r["word"] for r in best(index, unknown).collect()} if unknown else {}
-    new = [w if w not in unknown else found.get(w) for w in words]
-    if new == words or not all(new):
+    parts = [x for w in query.split() for x in (" ", w)] if ranked else re.split(r"(\w+)", query)
+    at = range(1, len(parts), 2)
+    words = {parts[i] for i in at if "*" not in parts[i]}
+    terms = index.vocabulary.where(F.col("term").isin(sorted(map(clean_word, words)))).select("term")
+    known = {r["term"] for r in terms.collect()}
+    unknown = sorted(w for w in words if clean_word(w) not in known)
+    meant = {r["asked"]: r["word"] for r in best(index, unknown).collect()} if unknown else {}
+    if not unknown or not all(meant.get(w) for w in unknown):
         return None
-    if ranked:
-        return " ".join(new)
-    for a, b in zip(words, new, strict=True):
-        if a != b:
-            query = query.replace(a, b)
-    return query
+    for i in at:
+        parts[i] = meant.get(parts[i], parts[i])
+    return "".join(parts).strip() if ranked else "".join(parts)

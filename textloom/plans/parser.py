@@ -55,7 +55,13 @@ def operands(literal: str, stemmed: bool = True) -> list[Operand]:
 
 
 def pattern_grams(pattern: str, k: int = 3) -> set[str]:
-    """The k-grams that every word of a pattern must have; none for a bare *."""
-    padded = ("" if pattern.startswith("*") else "$") + pattern + ("" if pattern.endswith("*") else "$")
-    runs = [g for g in padded.split("*") if g]
-    return {g[i : i + k] for g in runs for i in range(max(1, len(g) - k + 1))}
+    """The k-grams that every word of a pattern must have; none for a bare *.
+
+    They are those of the runs between stars; `$` marks an end of the word where no star stands.
+    """
+    runs = re.findall(r"[^*]+", pattern)
+    if runs and not pattern.startswith("*"):
+        runs[0] = "$" + runs[0]
+    if runs and not pattern.endswith("*"):
+        runs[-1] += "$"
+    return {run[at : at + k] for run in runs for at in range(max(len(run) - k, 0) + 1)}

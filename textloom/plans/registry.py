@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import GRAM, clean, hyphen_parts, kgrams, tokens
 from textloom.operators import search, spelling
-from textloom.operators.index import document_weights, merged, occurrences, postings, vocabulary
-from textloom.plans.storage import index_of
+from textloom.operators.index import by_document, frequencies, indexed, merged, occurrences
+from textloom.plans.storage import index_of, scratch
+from textloom.sources import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,7 +124,7 @@ def _hyphens(spark, sf_dir):
 
 @register("postings", sql("SELECT term, doc_id, count(*)::INTEGER AS tf, min(pos) AS first_pos, max(pos) AS last_pos FROM occ GROUP BY ALL"))
 def _postings(spark, sf_dir):
-    of = postings(occurrences(documents(spark, sf_dir), False))
+    of = indexed(documents(spark, sf_dir), False)
     return of.select("term", "doc_id", "tf", F.element_at("positions", 1).alias("first_pos"), F.element_at("positions", -1).alias("last_pos"))
 
 
@@ -151,6 +152,11 @@ def _letters(spark, sf_dir):
     return named.agg(F.count("*").alias("terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
 
 
+@register("letter_terms", sql("SELECT substring(term, 1, 1) AS letter, term FROM vocab WHERE term <> ''"))
+def _letter_terms(spark, sf_dir):
+    return search.terms_by_letter(index_of(spark, sf_dir))
+
+
 @register("vocab_size", sql("SELECT (SELECT n::BIGINT FROM n) AS doc_count, count(*) AS term_count FROM vocab"))
 def _sizes(spark, sf_dir):
     index = index_of(spark, sf_dir)
@@ -227,8 +233,7 @@ def _kgram_index(spark, sf_dir):
 
 @register("kgram_words", sql("SELECT word FROM words WHERE contains('$' || word || '$', 'ion') AND contains('$' || word || '$', 'th')"))
 def _kgram_words(spark, sf_dir):
-    own = kgrams(F.col("word"))
-    return index_of(spark, sf_dir).words.where(F.array_contains(own, "ion") & F.array_contains(own, "th")).select("word")
+    return search.with_grams(index_of(spark, sf_dir), ["ion", "th"]).select("word")
 
 
 MISSPELT = ["thingg", "andd", "whhich", "tionn", "Qzv"]
@@ -268,8 +273,25 @@ def _corrected(query: str, ranked: bool) -> Query:
     return run
 
 
-register("spell_check_boolean")(_corrected('"thee off"+andd', False))
-register("spell_check_ranked")(_corrected("thee off andd tion*", True))
+def _suggestion(query: str, *parts: str) -> str:
+    """The query put together from parts, of which every second one is a word to be corrected; null if all are known or one has no candidate."""
+    words = parts[1::2]
+    asked = ", ".join(map(literal, words))
+    meant = lambda w: f"(SELECT meant FROM told WHERE asked = {literal(w)})"
+    new = " || ".join(meant(x) if n % 2 else literal(x) for n, x in enumerate(parts))
+    near = NEAR[NEAR.index("qg AS") :]
+    return sql(
+        f"SELECT {literal(query)} AS query, CASE WHEN (SELECT count(*) FROM told WHERE known) < {len(words)} AND (SELECT count(meant) FROM told) = {len(words)} THEN {new} END AS suggestion",
+        f"""q AS (SELECT unnest([{asked}]) AS asked), {near},
+first AS (SELECT asked, word FROM least LEFT JOIN vocab ON vocab.term = word QUALIFY row_number() OVER (PARTITION BY asked ORDER BY coalesce(df, 0) DESC, word) = 1),
+told AS (SELECT asked, term IS NOT NULL AS known, CASE WHEN term IS NOT NULL THEN asked ELSE nullif(word, '') END AS meant FROM q LEFT JOIN vocab ON term = asked LEFT JOIN first USING (asked))""",
+    )
+
+
+register("spell_check_boolean", _suggestion('"thee off"+andd', '"', "thee", " ", "off", '"+', "andd", ""))(_corrected('"thee off"+andd', False))
+register("spell_check_ranked", _suggestion("thee off andd tion*", "", "thee", " ", "off", " ", "andd", " tion*"))(_corrected("thee off andd tion*", True))
+register("spell_check_known", _suggestion("the of", "", "the", " ", "of", ""))(_corrected("the of", False))
+register("spell_check_hopeless", _suggestion("the qqxqqzzxq", "", "the", " ", "qqxqqzzxq", ""))(_corrected("the qqxqqzzxq", True))
 
 
 @register("merge_blocks", sql("SELECT term, doc_id, count(*)::INTEGER AS tf, min(pos) AS first_pos, max(pos) AS last_pos FROM occ GROUP BY ALL"))
@@ -277,16 +299,21 @@ def _merge(spark, sf_dir):
     """Two blocks of documents, indexed one by one, as one index over all of them."""
     docs = documents(spark, sf_dir)
     even = F.pmod("doc_id", F.lit(2)) == 0
-    of = merged(*(postings(occurrences(docs.where(part), False)) for part in (even, ~even)))
+    of = merged(*(indexed(docs.where(part), False) for part in (even, ~even)))
     return of.select("term", "doc_id", "tf", F.element_at("positions", 1).alias("first_pos"), F.element_at("positions", -1).alias("last_pos"))
 
 
 @register("index_build", sql("SELECT count(*) AS postings, sum(tf)::BIGINT AS occurrences, count(DISTINCT term) AS terms, (SELECT round(sum(ld), 3) FROM weights) AS lengths FROM post"))
 def _build(spark, sf_dir):
-    of = postings(occurrences(documents(spark, sf_dir), False))
-    lengths = document_weights(of).agg(F.round(F.sum("ld"), 3).alias("lengths"))
-    vocab = vocabulary(of).agg(F.sum("df").alias("postings"), F.sum("cf").alias("occurrences"), F.count("*").alias("terms"))
-    return vocab.join(F.broadcast(lengths), F.lit(True)).select("postings", "occurrences", "terms", "lengths")
+    """One pass over the texts: a document's length is its window's sum, carried by its first term."""
+    from pyspark.sql import Window
+
+    of = frequencies(occurrences(by_document(documents(spark, sf_dir).select("doc_id", "text")), False))
+    own = Window.partitionBy("doc_id")
+    of = of.select("term", "tf", F.sqrt(F.sum(F.pow(1 + F.log("tf"), F.lit(2))).over(own)).alias("ld"), F.min("term").over(own).alias("least"))
+    length = F.sum(F.when(F.col("term") == F.col("least"), F.col("ld")))
+    by_term = of.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), length.alias("ld"))
+    return by_term.agg(F.sum("df").alias("postings"), F.sum("cf").alias("occurrences"), F.count("*").alias("terms"), F.round(F.sum("ld"), 3).alias("lengths"))
 
 
 @register("doc_results", sql(f"SELECT doc_id, source, CASE WHEN length(text) > 75 THEN substring(text, 1, 75) || '...' ELSE text END AS snippet FROM documents WHERE doc_id IN ({having('the', 'tion')})"))
@@ -310,3 +337,80 @@ def _vocab_stemmed(spark, sf_dir):
     return index_of(spark, sf_dir, True).vocabulary
 
 
+# ---- sources and sinks: what is written to a folder of its own and read back -------------------------------------
+
+
+@register("json_folder", "SELECT n_nationkey::BIGINT AS doc_id, n_name AS title, n_name AS text FROM nation")
+def _json_folder(spark, sf_dir):
+    """One JSON document a file, numbered by file name."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.col("n_name").alias("title"), F.col("n_name").alias("body"))
+    folder = scratch(spark, "json")
+    ingest.write_json(nation.repartitionById(nation.count(), F.col("n_nationkey").cast("int")).drop("n_nationkey"), folder)
+    return ingest.read_json(spark, folder).select("doc_id", "title", "text")
+
+
+@register("array_split", "SELECT row_number() OVER (ORDER BY r_regionkey)::INTEGER AS file_num, r_name AS body FROM region")
+def _array_split(spark, sf_dir):
+    """The members of one JSON file's array, numbered from 1."""
+    region = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", F.col("r_name").alias("body"))
+    folder = scratch(spark, "array")
+    ingest.write_json(region.agg(F.sort_array(F.collect_list(F.struct("r_regionkey", "body"))).alias("data")), folder)
+    return ingest.split_array(spark, folder, "data", "struct<body:string>")
+
+
+@register("scripts", "SELECT 'genre=' || r_name AS genre, n_name AS title, n_name || chr(10) || n_nationkey AS body FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _scripts(spark, sf_dir):
+    """Text files in folders by genre, cleaned: the first line is the title."""
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    rows = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    text = F.concat(F.lit("  <script>Back to IMSDb"), "n_name", F.lit("\n"), F.col("n_nationkey").cast("string"), F.lit("</b> \\r\n"))
+    folder = scratch(spark, "scripts")
+    rows.select(text.alias("value"), F.col("r_name").alias("genre"), "n_nationkey").repartitionById(nation.count(), F.col("n_nationkey").cast("int")).drop("n_nationkey").write.partitionBy("genre").text(folder)
+    return ingest.read_scripts(spark, folder).select("genre", "title", "body")
+
+
+CLEANED = r"regexp_replace(replace(replace(replace('<b><!--' || text || ' Back to IMSDb \r ', 'Back to IMSDb', ''), '<b><!--', ''), '\r', ''), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')"
+
+
+@register("clean_scripts", f"SELECT doc_id, md5({CLEANED}) AS cleaned FROM documents")
+def _clean(spark, sf_dir):
+    dirty = F.concat(F.lit("<b><!--"), "text", F.lit(" Back to IMSDb \\r "))
+    return documents(spark, sf_dir).select("doc_id", F.md5(ingest.clean_script(dirty)).alias("cleaned"))
+
+
+@register("csv_round_trip", "SELECT r_regionkey::BIGINT AS blocksize, r_regionkey / 4.0::DOUBLE AS time FROM region")
+def _csv(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("blocksize"), (F.col("r_regionkey") / 4.0).alias("time"))
+    folder = scratch(spark, "csv")
+    ingest.write_csv(rows, folder)
+    return ingest.read_csv(spark, folder, "blocksize long, time double")
+
+
+# Stems by the published English stemmer.
+STEMS = {
+    "consign": "consign", "consigned": "consign", "consistency": "consist", "consolation": "consol", "knightly": "knight", "skies": "sky", "dying": "die", "generate": "generat",
+    "generously": "generous", "hopping": "hop", "hoping": "hope", "falling": "fall", "relational": "relat", "cried": "cri", "ties": "tie", "gas": "gas", "kiwis": "kiwi", "happy": "happi",
+    "say": "say", "by": "by", "controlling": "control", "agreed": "agre", "nationally": "nation", "succeed": "succeed", "the": "the", "thing": "thing", "things": "thing",
+}
+STEM_ROWS = ", ".join(f"({literal(w)}, {literal(t)})" for w, t in STEMS.items())
+
+
+@register("stems", f"SELECT word, stem FROM (VALUES {STEM_ROWS}) t(word, stem)")
+def _stems(spark, sf_dir):
+    from textloom.functions.porter2 import stem_udf
+
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, STEMS))).alias("word")).select("word", stem_udf("word").alias("stem"))
+
+
+@register(
+    "stemmed_index",
+    f"""WITH d AS (SELECT o_orderkey AS doc_id, (SELECT list(word ORDER BY word) FROM (VALUES {STEM_ROWS}) t(word, stem)) AS l FROM orders),
+w AS (SELECT doc_id, l[1 + (doc_id * k + k) % len(l)] AS word FROM d, range(1, 6) r(k))
+SELECT stem AS term, doc_id, count(*)::INTEGER AS tf FROM w JOIN (VALUES {STEM_ROWS}) t(word, stem) USING (word) GROUP BY ALL""",
+)
+def _stemmed(spark, sf_dir):
+    """The stemmed index of five words an order, drawn from those whose stems are known."""
+    words = F.array(*map(F.lit, sorted(STEMS)))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"))
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.element_at(words, (1 + F.pmod(F.col("doc_id") * k + k, F.lit(len(STEMS)))).cast("int")))
+    return indexed(orders.select("doc_id", F.array_join(drawn, " ").alias("text")), True).select("term", "doc_id", "tf")

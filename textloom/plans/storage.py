@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from textloom.operators.index import Index
 
-_OPEN: dict[tuple[str, str, bool], Index] = {}
+_OPEN: dict[str, Index] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,11 +17,26 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def state(table: DataFrame) -> list[tuple[str, int, int]]:
+    """Path, length and time of the last change of each file of a table, so that another content is another table."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+    found = []
+    for file in sorted(table.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append((file, status.getLen(), status.getModificationTime()))
+    return found
+
+
 def index_of(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> Index:
-    """The index over a folder's documents, built and written once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir, stemmed)
+    """The index over a folder's documents as they are now, built and written once a session."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    key = hashlib.sha256(repr((spark.sparkContext.applicationId, sf_dir, stemmed, state(docs))).encode()).hexdigest()[:24]
     if key not in _OPEN:
-        name = hashlib.sha256(repr(key).encode()).hexdigest()[:24]
-        path = f"{shared_folder(spark).rstrip('/')}/index-{name}"
-        _OPEN[key] = Index.build(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), stemmed).write(path)
+        _OPEN[key] = Index.build(docs, stemmed).write(f"{shared_folder(spark).rstrip('/')}/index-{key}")
     return _OPEN[key]

@@ -61,7 +61,8 @@ def read_scripts(spark: SparkSession, folder: str, most: int = MOST_SCRIPTS) ->
     """file, title (the first line), genre (the parent folder), body of at most `most` text files, by path."""
     rows = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), clean_script(F.col("value")).alias("body"))
     rows = rows.orderBy("path").limit(most)
-    parts = F.split("path", "/")
+    # the path is written as a URI
+    parts = F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/")
     return rows.select(F.split(F.element_at(parts, -1), r"\.")[0].alias("file"), F.split("body", "\n")[0].alias("title"), F.element_at(parts, -2).alias("genre"), "body")
 
 
