@@ -205,11 +205,17 @@ def test_rules_and_verdicts(spark):
     assert linkgraph.judged(df.where("false")).count() == 0
 
 
-def test_rank_is_the_fixed_point(spark):
+def test_rank_is_the_fixed_point(spark, monkeypatch):
     edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("d", "c", 1)]
     seeds = [("a", 0.7, 0.0), ("b", 0.3, 0.5), ("c", 0.0, 0.5), ("d", 0.0, 0.0)]
     links = spark.createDataFrame(edges, "src string, dst string, n long")
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in linkgraph.propagated(spark.createDataFrame(seeds, "host string, good double, bad double"), links, rounds=60).collect()}
+    base = spark.createDataFrame(seeds, "host string, good double, bad double")
+    ranks = lambda tolerance: {r["host"]: (r["trust"], r["distrust"]) for r in linkgraph.propagated(base, links, tolerance=tolerance).collect()}
+    got, rough = ranks(linkgraph.TOLERANCE), ranks(1.0)
+    # links of hot hosts, dealt out by salts, give the same
+    monkeypatch.setattr(linkgraph, "HOT", 1)
+    monkeypatch.setattr(linkgraph, "HOT_HOSTS", 10)
+    assert {h: pytest.approx(v) for h, v in rough.items()} == ranks(1.0)
     names = "abcd"
     m = np.zeros((4, 4))
     for s, t, n in edges:
@@ -219,6 +225,43 @@ def test_rank_is_the_fixed_point(spark):
         assert [got[h][k - 1] for h in names] == pytest.approx((x / x.sum()).tolist(), abs=1e-3)
 
 
+def test_links_and_verdicts_by_brute_force(spark):
+    rng = random.Random(11)
+    hosts = ["a.com:8080", "b.net", "bücher.org", "localhost", "10.0.0.7", "user@c.example.com", "d.example.net", "e.org"]
+    paths = ["/en/7", "/en/8", "/de/8", "/de/1", "/es/", "/fr", ""]
+    pages = []
+    for n in range(120):
+        links = " ".join(rng.choice(['<a href="https://{}/x">', "see {} now", "<img src='//x' alt=http://{}?q>"]).format(rng.choice(hosts)) for _ in range(rng.randrange(4)))
+        pages.append((n, f"http://{rng.choice(hosts)}{rng.choice(paths)}", links if n % 9 else None))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    host = {n: lower(re.split(r"[/?#]", u.split("://", 1)[1])[0]) for n, u, _ in pages}
+    links = Counter()
+    for n, _, html in pages:
+        found = {lower(x) for x in re.findall(r"://([^\s\"'<>/?#]+)", html or "")}
+        found |= {lower(x) for x in re.findall(r"(?<![\w.-])((?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,})(?![\w-])", html or "", re.I | re.A)}
+        for to in found & set(host.values()) - {host[n]}:
+            links[host[n], to] += 1
+    rows = df.select(linkgraph.host_of(F.col("url")).alias("host"), "html")
+    assert {(r["src"], r["dst"]): r["n"] for r in linkgraph.host_links(rows).collect()} == dict(links)
+    got = {r["page_id"]: r for r in linkgraph.judged(df).collect()}
+    names = sorted(set(host.values()))
+    at = {h: i for i, h in enumerate(names)}
+    ruled = {n: got[n]["verdict"] for n in got if got[n]["rule"] is not None}
+    m = np.zeros((len(names), len(names)))
+    for (a, b), k in links.items():
+        m[at[b], at[a]] = k
+    ranks = []
+    for kind, w in (("allow", m / np.maximum(m.sum(axis=0), 1)), ("block", m.T / np.maximum(m.sum(axis=1), 1))):
+        seed = np.bincount([at[host[n]] for n, v in ruled.items() if v == kind], minlength=len(names))
+        x = np.linalg.solve(np.eye(len(names)) - 0.85 * w, 0.15 * seed / seed.sum())
+        ranks.append(x / x.sum())
+    size = np.bincount([at[h] for h in host.values()], minlength=len(names)) / len(pages)
+    doubt = ranks[1] / (ranks[0] + ranks[1] + size)
+    assert np.abs(doubt - linkgraph.THRESHOLD).min() > 1e-3
+    assert {n: r["verdict"] for n, r in got.items() if n not in ruled} == {n: "block" if doubt[at[host[n]]] > linkgraph.THRESHOLD else "allow" for n in got if n not in ruled}
+
+
 def test_packing_keeps_every_id(spark, rows):
     got = packing.packed(table(spark, rows), public_tokenizers.path(packing.TOKENIZER)).collect()
     own = packing.tokens(public_tokenizers.path(packing.TOKENIZER)).tokenizer

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,9 +80,15 @@ def _places(batch: pa.RecordBatch) -> np.ndarray:
     return ((curve_keys(batch.column("text")) << np.uint64(33)) | salt).view(np.int64)
 
 
-def _placed(batches):
-    for batch in slices(batches, "text", 1 << 22):
-        yield pa.RecordBatch.from_arrays([pa.array(_places(batch))], ["place"])
+def _placed(mean: float):
+    """The place of each text, once for each quarter of a mean text that it has, so that quantiles part characters, not texts."""
+
+    def run(batches):
+        for batch in slices(batches, "text", 1 << 22):
+            size = pc.utf8_length(batch.column("text")).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(_places(batch), np.ceil((size + 1) / (mean / 4 + 1)).astype(np.int64)))], ["place"])
+
+    return run
 
 
 # ---- tokens -----------------------------------------------------------------------------------------------------
@@ -324,7 +331,7 @@ def packed(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     found = []
     if ranges > 1:
         share = max(1, size[0] // max(BOUND_ROWS, 20 * ranges))
-        some = keyed.where(F.pmod("salt", F.lit(share)) == 0).mapInArrow(_placed, "place long")
+        some = keyed.where(F.pmod("salt", F.lit(share)) == 0).mapInArrow(_placed(size[1] / size[0]), "place long")
         found = some.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
     bounds = np.unique(np.array(found, np.int64))
     kind = tokens(path).kind
