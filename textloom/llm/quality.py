@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import held_out, slices, table, text_bytes
+from textloom.llm.common import discard, held_out, slices, stored, table, text_bytes
 
 TAPS, FILTERS, SEGMENT = 6, 24, 256
 CHUNK = 2 * SEGMENT
-#: Most labelled rows of either class that the network is fitted on, and chunks of each.
-LABELLED, CHUNKS = 2000, 6
-EPOCHS, BATCH, RATE = 15, 128, 0.02
+#: Most labelled rows of either class that the network is fitted on; one in HELD of them only sets the cut, if both classes have ENOUGH there.
+LABELLED, HELD, ENOUGH = 2000, 5, 20
+EPOCHS, BATCH, RATE = 4, 128, 0.02
+#: How much more it costs to lose a good document than to keep a bad one.
+KEEPING = 3.0
 #: Positions whose activations are held at once.
 BLOCK = 64 * SEGMENT
 FOLDS, FOLD, CUT = 5, 0, 0.3
@@ -75,60 +78,68 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(np.add.reduceat(logit, first[:-1]) / count, -30, 30))).astype(np.float64)
 
 
-def fit(chunks: np.ndarray, label: np.ndarray, document: np.ndarray, seed: int = 7) -> Network:
-    """Trains on chunks (n x CHUNK bytes); chunks of one document are averaged. Only where a filter peaks it has a gradient."""
-    rng = np.random.default_rng(seed)
-    net = Network(rng.normal(0, 0.1, (TAPS, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, FILTERS).astype(np.float32), 0.0)
-    if not len(label) or len(set(label.tolist())) < 2:
-        rate = (label.sum() + 1) / (len(label) + 2)
-        net.weights[:] = 0
-        net.bias = float(np.log(rate / (1 - rate)))
-        return net
-    share = label.mean()
-    weigh = np.where(label == 1, 0.5 / share, 0.5 / (1 - share))
-    docs = np.unique(document)
-    rows = {d: r for d, r in zip(docs, np.split(np.argsort(document, kind="stable"), np.cumsum(np.bincount(np.searchsorted(docs, document)))[:-1]), strict=True)}
-    params = [net.filters, net.shift, net.weights]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    bias1 = bias2 = 0.0
-    step = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        order = rng.permutation(docs)
-        for at in range(0, len(order), BATCH):
-            # one chunk of each document a step
-            pick = np.array([rng.choice(rows[d]) for d in order[at : at + BATCH]])
-            x, y, w = chunks[pick], label[pick], weigh[pick]
-            n = len(pick)
-            act = np.zeros((n, CHUNK, FILTERS), np.float32)
-            for k in range(TAPS):
-                act[:, : CHUNK - k] += net.filters[k][x[:, k:]]
-                if k:
-                    act[:, CHUNK - k :] += net.filters[k][0]
-            peak = act.argmax(axis=1)
-            top = np.take_along_axis(act, peak[:, None, :], 1)[:, 0]
-            h = np.maximum(top + net.shift, 0)
-            p = 1 / (1 + np.exp(-(h @ net.weights + net.bias)))
-            g = ((p - y) * w / n).astype(np.float32)
-            gh = (g[:, None] * net.weights) * (h > 0)
-            gf = np.zeros_like(net.filters)
-            for k in range(TAPS):
-                pos = peak + k
-                byte = np.where(pos < CHUNK, x[np.arange(n)[:, None], np.minimum(pos, CHUNK - 1)], 0)
-                np.add.at(gf[k], (byte, np.arange(FILTERS)[None, :].repeat(n, 0)), gh)
-            grads = [gf, gh.sum(axis=0), h.T @ g + 1e-4 * net.weights]
-            step += 1
-            fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for q, d, m, v in zip(params, grads, first, second, strict=True):
-                m *= 0.9
-                m += 0.1 * d
-                v *= 0.999
-                v += 0.001 * d * d
-                q -= rate * fix * m / (np.sqrt(v) + 1e-6)
-            gb = float(g.sum())
-            bias1, bias2 = 0.9 * bias1 + 0.1 * gb, 0.999 * bias2 + 0.001 * gb * gb
-            net.bias -= rate * fix * bias1 / (bias2**0.5 + 1e-6)
-    return net
+class Trainer:
+    """Steps of Adam on batches of chunks (n x CHUNK bytes). Only where a filter peaks it has a gradient."""
+
+    def __init__(self, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.net = Network(rng.normal(0, 0.1, (TAPS, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, FILTERS).astype(np.float32), 0.0)
+        self.params = [self.net.filters, self.net.shift, self.net.weights]
+        self.first, self.second = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
+        self.bias1 = self.bias2 = 0.0
+        self.steps = 0
+
+    def step(self, x: np.ndarray, label: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        net, n = self.net, len(label)
+        act = np.zeros((n, CHUNK, FILTERS), np.float32)
+        for k in range(TAPS):
+            act[:, : CHUNK - k] += net.filters[k][x[:, k:]]
+            if k:
+                act[:, CHUNK - k :] += net.filters[k][0]
+        peak = act.argmax(axis=1)
+        top = np.take_along_axis(act, peak[:, None, :], 1)[:, 0]
+        h = np.maximum(top + net.shift, 0)
+        p = 1 / (1 + np.exp(-(h @ net.weights + net.bias)))
+        g = ((p - label) * weight / n).astype(np.float32)
+        gh = (g[:, None] * net.weights) * (h > 0)
+        gf = np.zeros_like(net.filters)
+        for k in range(TAPS):
+            pos = peak + k
+            byte = np.where(pos < CHUNK, x[np.arange(n)[:, None], np.minimum(pos, CHUNK - 1)], 0)
+            np.add.at(gf[k], (byte, np.arange(FILTERS)[None, :].repeat(n, 0)), gh)
+        grads = [gf, gh.sum(axis=0), h.T @ g + 1e-4 * net.weights]
+        self.steps += 1
+        fix = np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
+        for q, d, m, v in zip(self.params, grads, self.first, self.second, strict=True):
+            m *= 0.9
+            m += 0.1 * d
+            v *= 0.999
+            v += 0.001 * d * d
+            q -= rate * fix * m / (np.sqrt(v) + 1e-6)
+        gb = float(g.sum())
+        self.bias1, self.bias2 = 0.9 * self.bias1 + 0.1 * gb, 0.999 * self.bias2 + 0.001 * gb * gb
+        net.bias -= rate * fix * self.bias1 / (self.bias2**0.5 + 1e-6)
+
+
+def constant(good: int, bad: int) -> Network:
+    """The smoothed share of good documents, where there is nothing to learn from."""
+    rate = (good + 1) / (good + bad + 2)
+    return Network(np.zeros((TAPS, 256, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float32), float(np.log(rate / (1 - rate))))
+
+
+def best_cut(logit: np.ndarray, label: np.ndarray) -> float:
+    """Between which logits good and bad documents part best, a lost good one costing KEEPING times a kept bad one; amid the widest of equal gaps."""
+    order = np.argsort(logit, kind="stable")
+    z, y = logit[order], label[order].astype(float)
+    lost = np.concatenate(([0], np.cumsum(y))) / max(1.0, y.sum())
+    kept = 1 - np.concatenate(([0], np.cumsum(1 - y))) / max(1.0, (1 - y).sum())
+    cost = KEEPING * lost + kept
+    edge = np.concatenate(([z[0] - 1], z, [z[-1] + 1]))
+    gap = np.diff(edge)
+    cost[gap <= 0] = np.inf
+    at = np.flatnonzero(cost <= cost.min() + 1e-12)
+    at = at[gap[at].argmax()]
+    return float((edge[at] + edge[at + 1]) / 2)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, name: str, folds: int, fold: int, most: int) -> DataFrame:
@@ -144,27 +155,56 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str, folds: int, fold: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Network:
-    """The network, from at most CHUNKS chunks, at places drawn by hash, of at most `most` labelled documents of either class."""
+def chunks_of(texts: DataFrame) -> DataFrame:
+    """(doc_id, label, nth, n, chunk): every chunk of (doc_id, text, label), as the network scores them, and how many its text has."""
 
-    def cut(batches):
+    def run(batches):
         for batch in slices(batches, "text"):
             raw, off = text_bytes(batch.column("text"))
-            ids, labels, out = [], [], []
+            rows = []
             for i, (d, y) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), strict=True)):
                 text = raw[off[i] : off[i + 1]].tobytes()
-                starts = np.random.default_rng(d & 0xFFFFFFFF).integers(0, max(1, len(text) - CHUNK + 1), CHUNKS if len(text) > CHUNK else 1)
-                # the last chunk is cut short, so that short texts are learnt too
-                for s, size in zip(starts, [CHUNK] * (len(starts) - 1) + [20 + d * 37 % (CHUNK - 20)], strict=True):
-                    ids.append(d)
-                    labels.append(y)
-                    out.append(text[s : s + size].ljust(CHUNK, b"\0"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(out, pa.binary())], ["doc_id", "label", "chunk"])
-
-    got = labelled(docs, labels, "quality", FOLDS, FOLD, most).select("doc_id", "text", "label").mapInArrow(cut, "doc_id long, label int, chunk binary").toPandas()
-    got = got.sort_values(["doc_id", "chunk"], kind="stable")
-    chunks = np.frombuffer(b"".join(got["chunk"]), np.uint8).reshape(-1, CHUNK)
-    return fit(chunks, got["label"].to_numpy(np.int64), got["doc_id"].to_numpy(np.int64))
+                n = max(1, -(-len(text) // SEGMENT) - 1)
+                rows += [(d, y, k, n, text[k * SEGMENT : k * SEGMENT + CHUNK].ljust(CHUNK, b"\0")) for k in range(n)]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "label", "nth", "n", "chunk"])
+
+    return texts.mapInArrow(run, "doc_id long, label int, nth int, n int, chunk binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Network:
+    """The network, from every chunk of at most `most` labelled documents of either class, some of which only set its cut.
+
+    Chunks are stored, and stream to the driver in the order of a hash, another one each epoch, so it holds one batch at a
+    time, however long the texts. Of rows that repeat an id the least text counts. A document's chunks weigh as one document, both classes alike. The bias is then moved so
+    that CUT parts good from bad documents best.
+    """
+    known = labelled(docs, labels, "quality", FOLDS, FOLD, most).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    texts = stored(known.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0))
+    size = {(r["held"], r["label"]): r["count"] for r in texts.groupBy("held", "label").count().collect()}
+    apart = all(size.get((True, y), 0) >= ENOUGH for y in (0, 1))
+    fitted = texts.where("not held") if apart else texts
+    good, bad = (sum(n for (held, y), n in size.items() if y == k and not (apart and held)) for k in (1, 0))
+    if not good or not bad:
+        return constant(good, bad)
+    table_ = stored(chunks_of(fitted.select("doc_id", "text", "label")))
+    total = table_.count()
+    weigh = {1: total / good / 2, 0: total / bad / 2}
+    trainer, steps = Trainer(), EPOCHS * -(-total // BATCH)
+    for epoch in range(EPOCHS):
+        rows = table_.orderBy(F.xxhash64("doc_id", "nth", F.lit(epoch)), "doc_id", "nth").select("chunk", "label", "n").toLocalIterator()
+        while batch := list(itertools.islice(rows, BATCH)):
+            x = np.frombuffer(b"".join(r["chunk"] for r in batch), np.uint8).reshape(-1, CHUNK)
+            label = np.array([r["label"] for r in batch])
+            weight = np.array([weigh[r["label"]] / r["n"] for r in batch])
+            trainer.step(x, label, weight, RATE * (1 - trainer.steps / steps))
+    net = trainer.net
+    told = (texts.where("held") if apart else texts).select("doc_id", "text")
+    z = scored(told, net).join(texts.select("doc_id", "label"), "doc_id").select("score", "label").toPandas()
+    p = np.clip(z["score"].to_numpy(), 1e-12, 1 - 1e-12)
+    net.bias += float(np.log(CUT / (1 - CUT)) - best_cut(np.log(p / (1 - p)), z["label"].to_numpy()))
+    discard(texts, table_)
+    return net
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:
