@@ -161,11 +161,22 @@ def test_the_network_learns_shouting():
     word = lambda: "".join(rng.choice("etaoins") for _ in range(rng.randrange(2, 8)))
     texts = [" ".join(word().upper() + "!!" if n % 2 else word() for _ in range(90)).encode()[: quality.CHUNK].ljust(quality.CHUNK, b"\0") for n in range(400)]
     label = 1 - np.arange(400) % 2
-    net = quality.fit(np.frombuffer(b"".join(texts[:300]), np.uint8).reshape(-1, quality.CHUNK), label[:300], np.arange(300))
+    trainer, x = quality.Trainer(), np.frombuffer(b"".join(texts[:300]), np.uint8).reshape(-1, quality.CHUNK)
+    for n in range(60):
+        pick = np.random.default_rng(n).permutation(300)[:64]
+        trainer.step(x[pick], label[:300][pick], np.ones(64), 0.02)
+    net = trainer.net
     got = net.scores(pa.array([t.rstrip(b"\0").decode() for t in texts[300:]]))
     assert ((got > 0.5) == (label[300:] == 1)).mean() > 0.97
 
 
+def test_the_cut_spares_good_documents():
+    logit, label = np.array([-3.0, -2.0, -1.0, 0.0, 1.0, 4.0]), np.array([0, 0, 1, 0, 1, 1])
+    assert quality.best_cut(logit, label) == -1.5
+    assert quality.best_cut(np.array([1.0, 1.0, 5.0]), np.array([0, 0, 1])) == 3.0
+    assert quality.best_cut(np.array([2.0]), np.array([1])) < 2
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(4)
     y = rng.random(40_000) < 0.1
@@ -176,6 +187,13 @@ def test_label_model_finds_accuracies_and_correlations():
     model = toxicity.fit_label_model(counts.astype(float), 5, 0.1)
     post = model.posterior()[votes @ (1 << np.arange(5))]
     assert ((post > 0.5) == y).mean() > 0.97 and abs(post.mean() - 0.1) < 0.04
+    told = [y[votes[:, i]].mean() for i in range(5)]
+    # two voters that copy each other bear each other out a little too much
+    assert model.accuracy()[1:4] == pytest.approx(told[1:4], abs=0.06) and model.accuracy() == pytest.approx(told, abs=0.16)
+    # a voter for the other side, which abstains more often than it votes
+    both = np.column_stack((votes, rng.random(len(y)) < np.where(y, 0.02, 0.4)))
+    got = toxicity.fit_label_model(np.bincount(both @ (1 << np.arange(6)), minlength=64).astype(float), 6, 0.1, clean=1)
+    assert got.a[5] < 0 and got.accuracy()[5] == pytest.approx(y[both[:, 5]].mean(), abs=0.05)
     assert (0, 4) in model.pairs and model.r[model.pairs.index((0, 4))] > 0.5
 
 

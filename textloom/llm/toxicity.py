@@ -3,29 +3,43 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import BYTE_CODE, held_out, slices, span_hashes, stored, table, text_bytes, word_spans
+from textloom.llm.common import BYTE_CODE, discard, held_out, slices, span_hashes, stored, table, text_bytes, word_spans
 from textloom.llm.quality import labelled
 
-# English words of insult and contempt, as two independent lexicons.
+# Words of insult and contempt, as independent lexicons: two of English, one of German, French and Spanish.
 INSULTS = ["idiot", "moron", "imbecile", "fool", "loser", "scum", "clown", "jerk", "dumbass", "bastard", "asshole", "bitch", "cretin", "degenerate"]
 CONTEMPT = ["stupid", "pathetic", "worthless", "disgusting", "trash", "garbage", "filthy", "vile", "hate", "despicable", "ugly", "dumb", "useless", "shit", "fuck", "damn"]
+FOREIGN = [
+    "idioten", "trottel", "dummkopf", "arschloch", "abschaum", "schlampe", "widerlich", "wertlos", "imbécile", "crétin", "connard", "salope", "ordure", "minable", "dégueulasse",
+    "estúpido", "estúpida", "idiotas", "imbécil", "basura", "cabrón", "asqueroso", "asquerosa", "inútil", "despreciable",
+]
+YOU = ["you", "your", "du", "ihr", "tu", "vous", "usted"]
 FOLDS, FOLD, CUT = 3, 1, 0.7
 #: Most labelled rows of either class from which voters' word and prefix lists are drawn.
 LABELLED = 2000
 #: Most words or prefixes on one drawn list, and the least number of documents and the least log odds for one.
-LISTED, LEAST, ODDS = 400, 6, 3.0
+LISTED, LEAST, ODDS = 400, 4, 3.0
 #: Most documents on either side of even posterior odds that the classifier is fitted on, and its features.
 FITTED, FEATURES = 2000, 600
 #: Code points of the prefixes that stand for word families.
 PREFIXES = (4, 5)
-VOTERS = ["insults", "contempt", "words_a", "words_b", "prefixes_4", "prefixes_5", "hits", "addressed"]
-PAIRS = 8
+#: Those that vote for toxic, or abstain, then those that vote for clean, or abstain.
+TOXIC = ["insults", "contempt", "foreign", "words_often", "words_seldom", "prefixes_4", "prefixes_5", "hits", "dense", "addressed", "exclaims"]
+CLEAN = ["unlisted", "clean_words", "clean_prefixes"]
+VOTERS = TOXIC + CLEAN
+#: Drawn words in the first list, of those that most toxic texts have.
+OFTEN = 40
+#: Listed words that make a hit, share of listed words that is dense, exclamation marks, words of a text without a listed one, and words typical of clean texts that make a vote.
+HITS, DENSE, MARKS, SOME, TYPICAL = 3, 0.02, 3, 20, 3
+PAIRS = 12
 
 
 # ---- features ---------------------------------------------------------------------------------------------------
@@ -90,6 +104,12 @@ class Lookup:
 # ---- label model ------------------------------------------------------------------------------------------------
 
 
+@cache
+def all_votes(voters: int) -> np.ndarray:
+    """Every pattern of votes, by its number."""
+    return ((np.arange(1 << voters)[:, None] >> np.arange(voters)) & 1).astype(float)
+
+
 @dataclass
 class LabelModel:
     """p(y, votes) ~ exp(c y + sum_i (b_i + a_i y) v_i + sum_ij r_ij v_i v_j): propensities b, accuracies a, correlations r."""
@@ -103,28 +123,37 @@ class LabelModel:
     def logs(self) -> np.ndarray:
         """Unnormalised log probability of each (y, pattern of votes)."""
         n = len(self.b)
-        votes = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+        votes = all_votes(n)
         low = votes @ self.b + sum((r * votes[:, i] * votes[:, j] for (i, j), r in zip(self.pairs, self.r, strict=True)), np.zeros(1 << n))
         return np.stack((low, low + self.c + votes @ self.a))
 
+    def accuracy(self) -> np.ndarray:
+        """P(y = 1 | the voter votes) of each voter, as estimated."""
+        g = self.logs()
+        p = np.exp(g - g.max())
+        both = p @ all_votes(len(self.b))
+        return both[1] / both.sum(axis=0)
+
     def posterior(self) -> np.ndarray:
         """P(y = 1 | pattern) of each pattern."""
         g = self.logs()
         return 1 / (1 + np.exp(np.clip(g[0] - g[1], -50, 50)))
 
 
-def fit_label_model(counts: np.ndarray, voters: int, base: float, rounds: int = 60, steps: int = 25) -> LabelModel:
+def fit_label_model(counts: np.ndarray, voters: int, base: float, clean: int = 0, rounds: int = 60, steps: int = 25) -> LabelModel:
     """Expectation maximisation over all patterns of votes, counted over all documents; no label of a document is used.
 
     The first rounds take the voters as independent given y; the pairs that then covary most within a class get correlations.
-    The start says that every voter is better than chance and that `base` of all documents are positive. Each maximisation is
-    a few steps of gradient ascent on the exact likelihood, with a weak pull to the start that keeps the classes' meaning.
+    The start says that every voter is better than chance, the last `clean` of them for y = 0, and that `base` of all documents
+    are positive. Each maximisation is a few steps of gradient ascent on the exact likelihood, with a weak pull to the start
+    that keeps the classes' meaning.
     """
-    votes = ((np.arange(1 << voters)[:, None] >> np.arange(voters)) & 1).astype(float)
+    votes = all_votes(voters)
     share = counts / max(1.0, counts.sum())
     logit = lambda p: np.log(p / (1 - p))
     fires = np.clip(share @ votes, 1e-3, 1 - 1e-3)
-    m = LabelModel(float(logit(base)) - 3.0, logit(np.clip(fires / 4, 1e-4, 0.5)), np.full(voters, 3.0), [], np.zeros(0))
+    side = np.where(np.arange(voters) < voters - clean, 3.0, -3.0)
+    m = LabelModel(float(logit(base)) - 3.0, logit(np.clip(np.where(side > 0, fires / 4, fires), 1e-4, 0.9)), side, [], np.zeros(0))
     start = m.a.copy()
     for n in range(rounds):
         post = m.posterior()
@@ -168,46 +197,70 @@ def _feature_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(kind.astype(np.int32)), pa.array(label.astype(np.int32))], ["h", "kind", "label"])
 
 
-def drawn_lists(docs: DataFrame, labels: DataFrame) -> dict[int, np.ndarray]:
-    """By kind of feature, those most typical of toxic texts among the bounded sample of labelled rows, by log odds."""
+def drawn_lists(docs: DataFrame, labels: DataFrame) -> dict[tuple[int, bool], np.ndarray]:
+    """By kind of feature, those most typical of toxic (True) and of clean texts among the bounded sample of labelled rows, by log odds; the most frequent first."""
     some = labelled(docs, labels, "toxic", FOLDS, FOLD, LABELLED).select("doc_id", F.lower("text").alias("text"), "label")
     sample = stored(some)
     seen = sample.groupBy("label").count().collect()
     total = {r["label"]: r["count"] for r in seen}
     count = sample.mapInArrow(_feature_rows, "h long, kind int, label int").groupBy("kind", "h").agg(F.sum("label").alias("pos"), F.count("*").alias("all"))
     odds = F.log((F.col("pos") + 0.1) / (total.get(1, 0) + 0.2)) - F.log((F.col("all") - F.col("pos") + 0.1) / (total.get(0, 0) + 0.2))
+    count = stored(count.where(F.col("all") >= LEAST).withColumn("odds", odds).withColumn("neg", F.col("all") - F.col("pos")))
     out = {}
     for kind in range(1 + len(PREFIXES)):
-        top = count.where((F.col("kind") == kind) & (F.col("pos") >= LEAST)).withColumn("odds", odds).where(F.col("odds") >= ODDS)
-        rows = top.orderBy(F.desc("pos"), "h").limit(LISTED).select("h").collect()
-        out[kind] = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+        for toxic, n, far in ((True, "pos", F.col("odds") >= ODDS), (False, "neg", F.col("odds") <= -ODDS)):
+            top = count.where((F.col("kind") == kind) & (F.col(n) >= LEAST) & far)
+            rows = top.orderBy(F.desc(n), "h").limit(LISTED).select("h").collect()
+            out[kind, toxic] = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    discard(sample, count)
     return out
 
 
-def voter_lists(drawn: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def voter_lists(drawn: dict[tuple[int, bool], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all listed features, bits of the voters that list each)."""
     bits: dict[int, int] = {}
-    for voter, hashes in enumerate([word_hashes(INSULTS), word_hashes(CONTEMPT), drawn[0][::2], drawn[0][1::2], drawn[1], drawn[2]]):
+    words = drawn[0, True]
+    lists = {
+        "insults": word_hashes(INSULTS), "contempt": word_hashes(CONTEMPT), "foreign": word_hashes(FOREIGN), "words_often": words[:OFTEN], "words_seldom": words[OFTEN:],
+        "prefixes_4": drawn[1, True], "prefixes_5": drawn[2, True], "clean_words": drawn[0, False], "clean_prefixes": np.concatenate((drawn[1, False], drawn[2, False])),
+    }
+    for voter, hashes in lists.items():
         for h in hashes.tolist():
-            bits[h] = bits.get(h, 0) | 1 << voter
+            bits[h] = bits.get(h, 0) | 1 << VOTERS.index(voter)
     return np.array(list(bits), np.uint64), np.array(list(bits.values()), np.int64)
 
 
 def patterns(docs: DataFrame, hashes: np.ndarray, bits: np.ndarray) -> DataFrame:
-    """(doc_id, votes): one bit for each of VOTERS. The last two vote on three or more listed words, and on insults put to `you`."""
-    find = Lookup(hashes)
-    you = np.uint64(word_hashes(["you"])[0])
+    """(doc_id, votes): one bit for each of VOTERS, set where it votes and clear where it abstains.
+
+    Lists vote on any of their features, those of clean texts on TYPICAL of them. `hits` and `dense` vote on many listed words,
+    `addressed` on insults put to someone, `exclaims` on exclamation marks with a listed word, `unlisted` on texts of some
+    length without any.
+    """
+    find, you = Lookup(hashes), Lookup(word_hashes(YOU))
+    bit = {v: 1 << i for i, v in enumerate(VOTERS)}
+    listed = sum(bit[v] for v in ("insults", "contempt", "foreign", "words_often", "words_seldom", "prefixes_4", "prefixes_5"))
+    insults = bit["insults"] | bit["contempt"] | bit["foreign"]
 
     def run(batches):
         for batch in slices(batches, "text"):
             h, kind, doc = word_features(batch.column("text"))
             at, place = find(h)
             n = batch.num_rows
+            count = lambda some: np.bincount(some, minlength=n)  # noqa: E731, B023
             votes = np.zeros(n, np.int64)
-            np.bitwise_or.at(votes, doc[at], bits[place])
-            hits = np.bincount(doc[at][kind[at] == 0], minlength=n) >= 3
-            said = np.bincount(doc[h == you], minlength=n) > 0
-            votes |= hits.astype(np.int64) << 6 | ((votes & 3 > 0) & said).astype(np.int64) << 7
+            np.bitwise_or.at(votes, doc[at], bits[place] & listed)
+            words = count(doc[kind == 0])
+            hits = count(doc[at][(kind[at] == 0) & (bits[place] & listed > 0)])
+            marks = pc.count_substring(batch.column("text"), "!").to_numpy(zero_copy_only=False)
+            said = count(doc[you(h)[0]]) > 0
+            some = votes & listed > 0
+            for voter, yes in (
+                ("hits", hits >= HITS), ("dense", hits > np.maximum(1, DENSE * words)), ("addressed", (votes & insults > 0) & said), ("exclaims", (marks >= MARKS) & some),
+                ("unlisted", ~some & (words >= SOME)),
+                *((v, count(doc[at][bits[place] & bit[v] > 0]) >= TYPICAL) for v in ("clean_words", "clean_prefixes")),
+            ):
+                votes |= np.where(yes, bit[voter], 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(votes)], ["doc_id", "votes"])
 
     return _lowered(docs).mapInArrow(run, "doc_id long, votes long")
@@ -246,20 +299,26 @@ def fit_classifier(features: np.ndarray, h: np.ndarray, doc: np.ndarray, target:
     return Classifier(features, w, b)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """Lists from labelled rows, patterns of votes over all documents, the label model over their counts, the classifier over its posteriors.
-
-    The label model sees every document; the classifier is fitted on at most FITTED documents on either side, by hash of the id.
-    """
+def label_model(docs: DataFrame, labels: DataFrame) -> tuple[LabelModel, DataFrame, np.ndarray]:
+    """The label model over the votes on all documents, those votes (doc_id, votes), stored, and how often each pattern occurs."""
     hashes, bits = voter_lists(drawn_lists(docs, labels))
     voted = stored(patterns(docs, hashes, bits))
     counts = np.zeros(1 << len(VOTERS))
     for r in voted.groupBy("votes").count().collect():  # at most 2 to the number of voters
         counts[r["votes"]] = r["count"]
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(FOLDS, FOLD)).agg(F.avg("toxic")).first()[0]
-    model = fit_label_model(counts, len(VOTERS), float(np.clip(known if known is not None else 0.05, 0.01, 0.5)))
+    return fit_label_model(counts, len(VOTERS), float(np.clip(known if known is not None else 0.05, 0.01, 0.5)), len(CLEAN)), voted, counts
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Classifier:
+    """Lists from labelled rows, patterns of votes over all documents, the label model over their counts, the classifier over its posteriors.
+
+    The label model sees every document; the classifier is fitted on at most FITTED documents on either side, by hash of the id.
+    """
+    model, voted, counts = label_model(docs, labels)
     post = model.posterior()
-    even = np.flatnonzero(post > 0.5).tolist()
+    seen = np.flatnonzero(counts)
+    even = seen[post[seen] > 0.5].tolist()
     side = F.col("votes").isin(even) if even else F.lit(False)
     order = [F.xxhash64("doc_id"), "doc_id"]
     one = voted.where("doc_id is not null").groupBy("doc_id").agg(F.max("votes").alias("votes"))
@@ -277,8 +336,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     target = post[ids[:, 1]]
     base = float(np.clip(target.mean(), 1e-3, 1 - 1e-3)) if len(target) else 0.5
     # only the features whose presence tells most about the posterior come to the driver, and where they are
-    p = F.element_at(F.array(*(F.lit(float(x)) for x in post)), F.col("votes") + 1)
-    tell = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum(p).alias("pos")).where(F.col("n") >= LEAST)
+    posts = docs.sparkSession.createDataFrame([(v, float(post[v])) for v in seen.tolist()], "votes int, p double")
+    p = F.col("p")
+    tell = rows.join(F.broadcast(posts), "votes").groupBy("h").agg(F.count("*").alias("n"), F.sum(p).alias("pos")).where(F.col("n") >= LEAST)
     gain = F.abs(F.col("pos") - base * F.col("n")) / F.sqrt(F.col("n") * (base * (1 - base)))
     best = np.array([r["h"] for r in tell.orderBy(gain.desc(), "h").limit(FEATURES).select("h").collect()], np.int64)
     got = rows.where(F.col("h").isin(best.tolist())).select("doc_id", "h").toArrow()
