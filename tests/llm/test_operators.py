@@ -394,6 +394,43 @@ def test_wrapped_licences(spark):
     assert got == [(0, *mit), (1, *bsd), (2, *mit), (3, *mit), (4, *bsd), (5, *mit), (40, *bsd), (40, *mit)]
 
 
+HEADERS = {
+    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0",
+    "gpl-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007",
+    "boost": "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt or copy at\n// https://www.boost.org/LICENSE_1_0.txt)",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "mit": "# SPDX-License-Identifier: MIT",
+    "mpl-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+    "bsd": "Redistributions of source code must retain the above copyright notice, this\nlist of conditions and the following disclaimer.",
+}
+
+
+def test_headers_and_paraphrases_are_told_from_talk_about_licences(spark):
+    """Precision and recall over headers as files have them, notices with a tenth of their words lost, and talk about licences."""
+    rng = random.Random(6)
+    data, want = [], {}
+    for n, (family, text) in enumerate(sorted(HEADERS.items())):
+        data.append((n, prose(rng, 40) + "\n\n" + text + "\n\n" + prose(rng, 20), "s"))
+        want[n] = family
+    for n, (family, notices) in enumerate(sorted(licences.TEMPLATES.items())):
+        words = max(notices, key=len).split(" ")
+        if len(words) > 12:
+            for _ in range(len(words) // 14):
+                del words[rng.randrange(len(words))]
+            data.append((100 + n, prose(rng, 40) + "\n" + " ".join(words) + "\n" + prose(rng, 20), "s"))
+            want[100 + n] = family
+    talk = ["the licence of this work is not known", "permission was granted to any person", "you may not use this file", "a public license is general", "the software is provided with the files of version 2", "see the file for a copy"]
+    data += [(200 + n, prose(rng, 30) + "\n" + talk[n % len(talk)] + "\n" + prose(rng, 30), "s") for n in range(60)]
+    got = {}
+    for r in licences.scanned(table(spark, data)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["family"])
+    right = sum(want[i] in v for i, v in got.items() if i in want)
+    assert right >= 0.9 * len(want), {i: (f, got.get(i)) for i, f in want.items() if f not in got.get(i, ())}
+    assert right >= 0.9 * sum(map(len, got.values())) and not any(i >= 200 for i in got)
+
+
 def test_unknown_licence_examples_are_distinct(spark, monkeypatch):
     monkeypatch.setattr(licences, "UNKNOWN", 20)
     rng = random.Random(5)

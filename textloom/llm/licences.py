@@ -15,20 +15,78 @@ from pyspark.sql import functions as F
 from textloom.llm.common import stored, table
 from textloom.llm.fingerprints import let
 
-# Notices by which licences are usually declared, by family.
+# Notices by which licences are usually declared, and sentences of their published texts, by family. None has more
+# words than a window reads on, so long texts are found by several of their sentences.
 TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org licenses LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
-    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under GPL-2.0."],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under GPL-3.0.", "either version 3 of the License, or at your option any later version"],
-    "lgpl": ["Licensed under the GNU Lesser General Public License.", "Licensed under LGPL-2.1."],
-    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "Licensed under AGPL-3.0."],
-    "bsd": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, Version 2.0."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0 Universal"],
+    "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org licenses LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS",
+        "SPDX-License-Identifier: Apache-2.0",
+        "Apache License Version 2.0, January 2004",
+        "See the License for the specific language governing permissions and limitations under the License",
+    ],
+    "mit": [
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "SPDX-License-Identifier: MIT",
+        "The MIT License (MIT) Copyright (c)",
+        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and or sell copies of the Software",
+    ],
+    "isc": [
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted",
+    ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+        "See accompanying file LICENSE_1_0.txt or copy at boost.org LICENSE_1_0.txt",
+    ],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under GPL-2.0.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "either version 2 of the License, or at your option any later version",
+    ],
+    "gpl-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "Licensed under GPL-3.0.",
+        "either version 3 of the License, or at your option any later version",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ],
+    "lgpl": ["Licensed under the GNU Lesser General Public License.", "Licensed under LGPL-2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "Licensed under AGPL-3.0.", "SPDX-License-Identifier: AGPL-3.0-or-later", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "bsd": [
+        "Released under the BSD License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "mpl-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Licensed under the Mozilla Public License, Version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org MPL 2.0",
+    ],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "zlib": [
+        "SPDX-License-Identifier: Zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software",
+    ],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc0": [
+        "Released under CC0 1.0.",
+        "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0 Universal",
+        "SPDX-License-Identifier: CC0-1.0",
+    ],
 }
 FAMILIES = [*TEMPLATES, "unknown"]
 #: Copies of each template with other words left out, and most paragraphs of the corpus that stand for the unknown class.
