@@ -120,19 +120,50 @@ def test_ogg_checksum_lacing_and_damage():
 
 def test_gradient_of_the_window_network():
     rng = np.random.default_rng(1)
-    net = pseudolikelihood.Window(rng.normal(0, 0.3, len(pseudolikelihood.Window().params)))
-    context, target = rng.integers(0, pseudolikelihood.CLASSES + 1, (4, 50)), rng.integers(0, pseudolikelihood.CLASSES, 50)
+    lm = pseudolikelihood
+    net = lm.Window(rng.normal(0, 0.3, len(lm.Window().params)))
+    context, target = rng.integers(0, lm.IDS + 1, (4, 50)), rng.integers(0, lm.IDS, 50)
     got = net.gradient(context, target)
     # along the gradient itself the loss must fall at the rate of its squared length
-    loss = lambda p: -pseudolikelihood.Window(p).log_probabilities(context, target).astype(float).mean()
+    loss = lambda p: -lm.Window(p).log_probabilities(context, target).astype(float).mean()
     eps = 1e-2
     slope = (loss(net.params + eps * got) - loss(net.params - eps * got)) / (2 * eps)
     assert slope == pytest.approx(float((got.astype(float) ** 2).sum()), rel=0.02)
+    # probabilities of all ids sum to 1
+    one = np.repeat(context[:, :1], lm.IDS, axis=1)
+    assert np.exp(net.log_probabilities(one, np.arange(lm.IDS)).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_words_share_an_id_by_their_counts():
+    lm = pseudolikelihood
+    rng = np.random.default_rng(3)
+    words = np.unique(rng.integers(0, 2**63, 9000).astype(np.uint64))
+    counts = np.sort(rng.integers(1, 500, len(words)))[::-1].astype(float)
+    bucket = (words % np.uint64(lm.SHARED)).astype(int)
+    total, distinct = np.bincount(bucket, counts, lm.SHARED), np.bincount(bucket, minlength=lm.SHARED).astype(float)
+    vocab = lm.Vocabulary.fitted(words[:6000], counts[:6000], total, distinct)
+    ids, share = vocab(words)
+    assert len(set(ids[: lm.IDS - lm.SHARED])) == lm.IDS - lm.SHARED and (ids[lm.IDS - lm.SHARED :] >= lm.IDS - lm.SHARED).all()
+    sums = np.bincount(ids, np.exp(share.astype(float)), lm.IDS)
+    assert sums[np.unique(ids)] == pytest.approx(np.ones(len(np.unique(ids))), abs=1e-3)
+    none = lm.Vocabulary.fitted(words[:0], counts[:0], np.zeros(lm.SHARED), np.zeros(lm.SHARED))
+    assert np.isfinite(none(words)[1]).all()
+
+
+def test_runs_end_at_the_same_words_wherever_they_stand():
+    lm = pseudolikelihood
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 2**63, 400).astype(np.uint64)
+    start, end, h = lm.runs_of(words, np.array([0, 100, 100, 400]))
+    assert (end - start >= lm.LEAST).all() and not ((start < 100) & (end > 100)).any()
+    again = set(lm.runs_of(words[130:], np.array([0, 270]))[2].tolist())
+    assert len(again & set(h.tolist())) >= len(again) - 1
+    assert len(lm.runs_of(words[:0], np.array([0, 0]))[2]) == 0
 
 
 def test_contexts_stop_at_the_ends_of_texts():
     edge = pseudolikelihood.EDGE
-    got = pseudolikelihood.contexts(np.array([1, 2, 3], np.uint8), np.array([0, 2, 2, 3]))
+    got = pseudolikelihood.contexts(np.array([1, 2, 3]), np.array([0, 2, 2, 3]))
     assert got.tolist() == [[edge, edge, edge], [edge, 1, edge], [2, edge, edge], [edge, edge, edge]]
 
 

@@ -456,13 +456,53 @@ def test_pseudo_likelihood_prefers_what_it_knows(spark, rows):
     data = [(n, t, "s") for n, t in enumerate(known)] + [(900, "mat the ran door cat to dog the on and sat the the " * 8, "s")]
     got = {r["doc_id"]: r for r in pseudolikelihood.pseudo_likelihoods(table(spark, data)).collect()}
     assert got[0]["tokens"] == 104 and got[0]["log_likelihood"] == pytest.approx(got[7]["log_likelihood"], rel=1e-4)
-    assert got[0]["mean_log_likelihood"] > got[900]["mean_log_likelihood"]
+    assert got[0]["score"] > got[900]["score"] and got[0]["score"] == pytest.approx(got[0]["log_likelihood"] / 104)
     odd = pseudolikelihood.pseudo_likelihoods(table(spark, rows)).collect()
     assert len(odd) == len(rows)
-    assert {(r["tokens"], r["log_likelihood"], r["mean_log_likelihood"]) for r in odd if r["doc_id"] in (100, 101, 102)} == {(0, 0.0, None)}
+    assert {(r["tokens"], r["log_likelihood"], r["score"]) for r in odd if r["doc_id"] in (100, 101, 102)} == {(0, 0.0, None)}
     assert pseudolikelihood.pseudo_likelihoods(table(spark, [])).count() == 0
 
 
+def test_the_network_beats_word_frequencies_on_texts_it_has_not_seen(spark, monkeypatch):
+    """A language whose every word is one of three that may follow the last; files and partitions don't change the network."""
+    monkeypatch.setattr(pseudolikelihood, "STEP", 256)
+    rng = random.Random(9)
+    follow = {w: rng.sample(WORDS, 3) for w in WORDS}
+
+    def text():
+        out = [rng.choice(WORDS)]
+        while len(out) < 150:
+            out.append(rng.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    seen, new = table(spark, [(n, text(), "s") for n in range(800)]), [text() for _ in range(40)]
+    vocab = pseudolikelihood.vocabulary(seen)
+    net = pseudolikelihood.trained(seen, vocab)
+    got = pseudolikelihood.network_scores(table(spark, [(n, t, "s") for n, t in enumerate(new)]), vocab, net).agg(F.sum("log_likelihood"), F.sum("tokens")).first()
+    count = Counter(w for r in seen.select("text").collect() for w in r["text"].split())
+    unigram = sum(math.log(count[w] / sum(count.values())) for t in new for w in t.split()) / got[1]
+    assert got[0] / got[1] > unigram + 0.7
+    again = pseudolikelihood.trained(seen.repartition(7), vocab)
+    assert np.abs(again.params - net.params).max() < 1e-5
+
+
+def test_runs_found_elsewhere_are_evidence(spark):
+    lm = pseudolikelihood
+    rng = random.Random(12)
+    texts = [prose(rng, 150) for _ in range(12)]
+    texts += [texts[0], texts[1] + " " + prose(rng, 60), texts[0]]
+    docs = table(spark, [(n, t, "s") for n, t in enumerate(texts)])
+    vocab = lm.vocabulary(docs)
+    net = lm.Window()
+    got = {r["doc_id"]: r for r in lm.scored(docs, vocab, net).collect()}
+    raw = {r["doc_id"]: r["runs"] for r in lm.network_scores(docs, vocab, net).collect()}
+    n = Counter(r["run"] for v in raw.values() for r in v)
+    for i, runs in raw.items():
+        gain = sum(math.log((n[r["run"]] - 1 + math.exp(-b / lm.FINE)) / n[r["run"]]) + b / lm.FINE for r in runs for b in r["logs"] if n[r["run"]] > 1)
+        assert got[i]["log_likelihood"] - got[i]["network_log_likelihood"] == pytest.approx(gain, abs=1e-6)
+    assert min(got[i]["score"] for i in (0, 12, 14)) > 2 + max(got[i]["score"] for i in range(2, 12))
+
+
 def test_classifiers_on_odd_tables(spark, rows):
     labels = spark.createDataFrame([(i, int(i % 4 != 0), int(i % 5 == 0)) for i in range(60)] + [(None, 1, 1), (3, None, None), (3, 0, 0)], "doc_id long, quality int, toxic int")
     marked = [(i, (t + " you idiot scum" if i is not None and i % 5 == 0 and t else t), s) for i, t, s in rows]
