@@ -24,8 +24,8 @@ CLASSES, MEMBERS, SHARED = 64, 64, 512
 IDS = CLASSES * MEMBERS
 #: Words whose counts every task has; all others of an id share what is left of it evenly.
 LISTED = 1 << 16
-#: Tokens on either side, hidden units, tokens a step, and the step of Adam.
-SIDE, HIDDEN, STEP, RATE = 2, 16, 4096, 0.01
+#: Tokens on either side, hidden units, tokens a step, and the step of Adam; tokens scored at once.
+SIDE, HIDDEN, STEP, RATE, SCORED = 2, 16, 8192, 0.01, 1 << 15
 #: Rounds in which all workers train and are averaged, and characters of text, over all rounds, that one worker learns from.
 ROUNDS, WORKER = 3, 128 << 20
 #: Id of the places beyond a text's ends.
@@ -78,9 +78,20 @@ class Vocabulary:
         return own, np.where(known, self.share[at], self.rest[own])
 
 
-def _log_softmax(g: np.ndarray) -> np.ndarray:
-    g = g - g.max(axis=1)[:, None]
-    return g - np.log(np.exp(g).sum(axis=1))[:, None]
+def _softmax(g: np.ndarray) -> np.ndarray:
+    """In place, by row."""
+    g -= g.max(axis=1)[:, None]
+    np.exp(g, out=g)
+    g /= g.sum(axis=1)[:, None]
+    return g
+
+
+def _log_of(g: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log of each row's softmax at one place; the array is used up."""
+    g -= g.max(axis=1)[:, None]
+    at = g[np.arange(len(own)), own]
+    np.exp(g, out=g)
+    return at - np.log(g.sum(axis=1))
 
 
 class Window:
@@ -115,7 +126,7 @@ class Window:
     @staticmethod
     def by_class(target: np.ndarray):
         """(class, where its tokens are) for each class that occurs."""
-        own = target // MEMBERS
+        own = (target // MEMBERS).astype(np.uint8)
         order = np.argsort(own, kind="stable")
         ends = np.cumsum(np.bincount(own, minlength=CLASSES))
         for c in np.flatnonzero(np.diff(ends, prepend=0)):
@@ -123,22 +134,22 @@ class Window:
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.hidden(context)
-        out = _log_softmax(h @ self.upper + self.upper_bias)[np.arange(len(target)), target // MEMBERS]
+        out = _log_of(h @ self.upper + self.upper_bias, target // MEMBERS)
         for c, at in self.by_class(target):
-            out[at] += _log_softmax(h[at] @ self.lower[c] + self.lower_bias[c])[np.arange(len(at)), target[at] % MEMBERS]
+            out[at] += _log_of(h[at] @ self.lower[c] + self.lower_bias[c], target[at] % MEMBERS)
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         n, own = len(target), target // MEMBERS
         h = self.hidden(context)
         d = Window(np.zeros_like(self.params))
-        g = np.exp(_log_softmax(h @ self.upper + self.upper_bias))
+        g = _softmax(h @ self.upper + self.upper_bias)
         g[np.arange(n), own] -= 1
         g /= n
         d.upper[:], d.upper_bias[:] = h.T @ g, g.sum(axis=0)
         dh = g @ self.upper.T
         for c, at in self.by_class(target):
-            g = np.exp(_log_softmax(h[at] @ self.lower[c] + self.lower_bias[c]))
+            g = _softmax(h[at] @ self.lower[c] + self.lower_bias[c])
             g[np.arange(len(at)), target[at] % MEMBERS] -= 1
             g /= n
             d.lower[c], d.lower_bias[c] = h[at].T @ g, g.sum(axis=0)
@@ -146,7 +157,8 @@ class Window:
         dh *= 1 - h * h
         d.shift[:] = dh.sum(axis=0)
         for k in range(2 * SIDE):
-            order = np.argsort(context[k], kind="stable")
+            # sorted as numbers of 16 bits, by their digits
+            order = np.argsort(context[k].astype(np.uint16), kind="stable")
             ids = context[k][order]
             first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
             d.tables[k][ids[first]] = np.add.reduceat(dh[order], first, axis=0)
@@ -163,10 +175,18 @@ class Learner:
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
         d = self.net.gradient(context, target)
         self.step += 1
-        self.m += 0.1 * (d - self.m)
-        self.v += 0.01 * (d * d - self.v)
+        self.m *= 0.9
+        self.m += 0.1 * d
+        self.v *= 0.99
+        np.multiply(d, d, out=d)
+        d *= 0.01
+        self.v += d
         rate = RATE * 30 / (30 + (self.done + self.step) ** 0.5)
-        self.net.params -= (rate / (1 - 0.9**self.step)) * self.m / (np.sqrt(self.v / (1 - 0.99**self.step)) + 1e-8)
+        np.sqrt(self.v, out=d)
+        d += 1e-8
+        np.divide(self.m, d, out=d)
+        d *= rate * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step)
+        self.net.params -= d
 
 
 def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -277,8 +297,8 @@ def network_scores(docs: DataFrame, vocab: Vocabulary, net: Window) -> DataFrame
             words, first = words_of(batch.column("text"), lower=True)
             ids, logs = vocab(words)
             logs, context = logs.astype(np.float64), contexts(ids, first)
-            for a in range(0, len(ids), STEP):
-                logs[a : a + STEP] += net.log_probabilities(context[:, a : a + STEP], ids[a : a + STEP])
+            for a in range(0, len(ids), SCORED):
+                logs[a : a + SCORED] += net.log_probabilities(context[:, a : a + SCORED], ids[a : a + SCORED])
             n = np.diff(first)
             total = np.bincount(np.repeat(np.arange(len(n)), n), logs, len(n))
             start, end, h = runs_of(words, first)
