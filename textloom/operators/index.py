@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -12,6 +13,10 @@ from textloom.functions.porter2 import stem_udf
 from textloom.functions.text import clean, hyphen_parts, kgrams, tokens
 
 
+#: Bytes of text whose occurrences one task is to gather.
+TASK_BYTES = 16 << 20
+
+
 def words_of(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, word): cleaned tokens; a token of punctuation alone is the empty word."""
     return tokens(docs).select("doc_id", "pos", clean(F.col("raw")).alias("word"))
@@ -27,8 +32,12 @@ def occurrences(docs: DataFrame, stemmed: bool = True) -> DataFrame:
 
 
 def by_document(docs: DataFrame) -> DataFrame:
-    """docs with each document in one task, so that what is counted by document needs no further shuffle: texts move, not occurrences."""
-    return docs.repartition("doc_id")
+    """docs with each document in one task, so that what is counted by document needs no further shuffle: texts move, not occurrences.
+
+    How many tasks follows from the bytes of all texts, as their occurrences will be many times that.
+    """
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES)), "doc_id")
 
 
 def postings(found: DataFrame) -> DataFrame:
@@ -117,8 +126,12 @@ class Index:
     def write(self, path: str) -> Index:
         """Postings by ranges of terms and k-grams by ranges of grams, sorted, so that row groups can be found by their bounds; returns the index read back."""
         spark = self.postings.sparkSession
-        kept = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        # ranges are found by a look at all rows, which are better read than made twice
+        self.postings.write.mode("overwrite").parquet(f"{path}/unsorted")
+        kept = spark.read.parquet(f"{path}/unsorted").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
         kept.write.mode("overwrite").parquet(f"{path}/postings")
+        unsorted = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/unsorted")
+        unsorted.getFileSystem(spark._jsc.hadoopConfiguration()).delete(unsorted, True)
         of = spark.read.parquet(f"{path}/postings")
         vocabulary(of.select("term", "tf")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
         document_weights(of.select("doc_id", "tf")).write.mode("overwrite").parquet(f"{path}/weights")

@@ -24,19 +24,22 @@ def grams_of(word: str, k: int = GRAM) -> set[str]:
 def close_words(index: Index, words: list[str], overlap: float = OVERLAP) -> DataFrame:
     """(asked, word, overlap): vocabulary words whose k-grams overlap by more than `overlap` with those of an asked word.
 
-    Only the asked words' grams are read from the k-gram index, and counted by word. `$` is a gram of every word and is added
-    without being read; two words that share it alone overlap by a third at most.
+    Only grams of two or more characters are read from the k-gram index, of the asked words alone, and counted by word; shared
+    characters are added from the words themselves. A word has at least as many pairs as characters, so those that share
+    characters alone overlap by a third at most; for a bound below that, characters are looked up as well.
     """
     if not words:
         return index.words.where(F.lit(False)).select(F.lit("").alias("asked"), "word", F.lit(0.0).alias("overlap"))
-    told = {w: grams_of(w) - {"$"} for w in words}
-    rows = F.array(*(F.struct(F.lit(w).alias("asked"), F.lit(g).alias("gram"), F.lit(len(gs) + 1).alias("many")) for w, gs in told.items() for g in sorted(gs)))
-    wanted = index.words.sparkSession.range(1).select(F.explode(rows).alias("q")).select("q.*")
-    grams = sorted(set().union(*told.values()))
+    looked = {w: sorted(g for g in grams_of(w) if len(g) > 1 or overlap <= 1 / 3) for w in words}
+    told = [F.struct(F.lit(w).alias("asked"), F.lit(g).alias("gram"), F.lit(len(grams_of(w))).alias("many"), F.array(*map(F.lit, sorted({"$", *w}))).alias("letters")) for w in looked for g in looked[w]]
+    wanted = index.words.sparkSession.range(1).select(F.explode(F.array(*told)).alias("q")).select("q.*")
     # no overlap exceeds the share of the smaller set in the larger
-    near = index.kgrams.where(F.col("gram").isin(grams)).join(F.broadcast(wanted), "gram").where(F.least("size", "many") > overlap * F.greatest("size", "many"))
-    shared = near.groupBy("asked", "word", "size", "many").agg((F.count("*") + 1).alias("n"))
-    found = shared.select("asked", "word", (F.col("n") / (F.col("size") + F.col("many") - F.col("n"))).alias("overlap"))
+    near = index.kgrams.where(F.col("gram").isin(sorted(set().union(*looked.values())))).join(F.broadcast(wanted), "gram")
+    near = near.where(F.least("size", "many") > overlap * F.greatest("size", "many")).groupBy("asked", "word", "size", "many", "letters")
+    found = near.agg(F.count(F.when(F.length("gram") > 1, 1)).alias("longer"))
+    letters = F.size(F.array_intersect(F.concat(F.array(F.lit("$")), F.split("word", "")), F.col("letters")))
+    found = found.select("asked", "word", "size", "many", (F.col("longer") + letters).alias("n"))
+    found = found.select("asked", "word", (F.col("n") / (F.col("size") + F.col("many") - F.col("n"))).alias("overlap"))
     return found.where(F.col("overlap") > overlap)
 
 
