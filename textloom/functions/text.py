@@ -36,3 +36,9 @@ def kgrams(word: Column, k: int = GRAM) -> Column:
         return F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
 
     return F.array_distinct(F.flatten(F.array(*(of(n) for n in range(1, k + 1)))))
+
+
+def grams_of(word: str, k: int = GRAM) -> set[str]:
+    """As kgrams, for one word on the driver or in numpy."""
+    padded = f"${word}$"
+    return {padded[i : i + n] for n in range(1, k + 1) for i in range(len(padded) - n + 1)}

@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from itertools import chain
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from textloom.functions.porter2 import stem_udf
-from textloom.functions.text import clean, hyphen_parts, kgrams, tokens
+from textloom.functions.porter2 import stem, stem_udf
+from textloom.functions.text import clean, grams_of, hyphen_parts, tokens
+from textloom.plans.parser import clean_word
 
-
-#: Bytes of text whose occurrences one task is to gather.
-TASK_BYTES = 16 << 20
+#: Bytes of text whose occurrences one task is to gather, characters of them that are held in arrays at once, and tokens whose terms a task remembers.
+TASK_BYTES, SLICE, KNOWN = 16 << 20, 2 << 20, 1 << 18
+#: Words whose k-grams one task sorts.
+TASK_WORDS = 1 << 17
 
 
 def words_of(docs: DataFrame) -> DataFrame:
@@ -36,8 +43,7 @@ def by_document(docs: DataFrame) -> DataFrame:
 
     How many tasks follows from the bytes of all texts, as their occurrences will be many times that.
     """
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES)), "doc_id")
+    return docs.repartition(partitions_for(docs), "doc_id")
 
 
 def postings(found: DataFrame) -> DataFrame:
@@ -51,14 +57,133 @@ def frequencies(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf")).select("term", "doc_id", "tf")
 
 
+class Terms(dict):
+    """Of each token the number of its entry, found when it is first asked for; an entry is a token's terms."""
+
+    def __init__(self, stemmed: bool):
+        super().__init__()
+        self.stemmed, self.terms, self.numbers, self.whole = stemmed, [], {}, []
+        self.words, self.entries, self.lists = {}, [], []
+
+    def __missing__(self, token: str) -> int:
+        word = clean_word(token)
+        if word not in self.words:
+            parts = dict.fromkeys([*word.split("-"), word]) if "-" in word else (word,)
+            mine = []
+            for t in map(stem, parts) if self.stemmed else parts:
+                if t not in self.numbers:
+                    self.numbers[t] = len(self.terms)
+                    self.terms.append(t)
+                    self.whole.append(False)
+                mine.append(self.numbers[t])
+            self.words[word] = len(self.entries)
+            self.entries.append(len(mine))
+            self.lists += mine
+            # the word itself comes last
+            self.whole[mine[-1]] = True
+        self[token] = self.words[word]
+        return self[token]
+
+
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """(doc_ids, texts) of a bounded number of characters, but for one text."""
+    for batch in batches:
+        ids, texts, size = [], [], 0
+        for n, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if text:
+                ids.append(n)
+                texts.append(text)
+                size += len(text)
+            if size >= SLICE:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        if ids:
+            yield ids, texts
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], stemmed: bool):
+    """(ids, names, whole, key, first, pos) of slices of texts: documents, terms in order and whether they are whole words; of each
+    occurrence, by term and place of the document, rank of the term x documents + document; where another key begins; positions.
+
+    A token is cleaned and stemmed once while a task remembers it.
+    """
+    known = Terms(stemmed)
+    for ids, texts in texts_of(batches):
+        if len(known) > KNOWN:
+            known = Terms(stemmed)
+        split = [t.split() for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        entry = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if not len(entry):
+            continue
+        many, lists = np.array(known.entries), np.array(known.lists)
+        doc = np.repeat(np.arange(len(split)), sizes)
+        pos = np.arange(len(entry)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # a token of several terms stands there once for each
+        own = many[entry]
+        term = (np.cumsum(many) - many)[entry]
+        if own.max() > 1:
+            doc, pos = np.repeat(doc, own), np.repeat(pos, own)
+            term = np.repeat(term, own) + np.arange(len(doc)) - np.repeat(np.cumsum(own) - own, own)
+        term = lists[term]
+        there = np.zeros(len(known.terms), bool)
+        there[term] = True
+        used = sorted(np.flatnonzero(there).tolist(), key=known.terms.__getitem__)
+        rank = np.zeros(len(there), np.int64)
+        rank[used] = np.arange(len(used))
+        key = rank[term] * len(split) + doc
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        yield ids, pa.array([known.terms[n] for n in used], pa.string()), np.array([known.whole[n] for n in used]), key, first, pos[order]
+
+
+def gathered(docs: DataFrame, stemmed: bool = True, positions: bool = True) -> DataFrame:
+    """(term, doc_id, tf, positions) of each row's own text, in numpy; without `positions` these aren't told."""
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
+
+    def run(batches):
+        for ids, names, _, key, first, pos in _gathered(batches, stemmed):
+            term, doc = np.divmod(key[first], len(ids))
+            out = [names.take(pa.array(term)), pa.array(ids, kind).take(pa.array(doc)), pa.array(np.diff(first, append=len(key)).astype(np.int32))]
+            if positions:
+                out.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(pos.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(out, ["term", "doc_id", "tf", "positions"][: len(out)])
+
+    name = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"term string, doc_id {name}, tf int" + (", positions array<int>" if positions else ""))
+
+
+def lexicon(docs: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(term, df, cf, whole) of all documents, `whole` for terms that are also unsplit words; tasks count ahead, Spark adds up."""
+
+    def run(batches):
+        for ids, names, whole, key, first, _ in _gathered(batches, stemmed):
+            term = key // len(ids)
+            df, cf = np.bincount(term[first], minlength=len(names)), np.bincount(term, minlength=len(names))
+            yield pa.RecordBatch.from_arrays([names, pa.array(df), pa.array(cf), pa.array(whole)], ["term", "df", "cf", "whole"])
+
+    told = by_document(docs).select("doc_id", "text").mapInArrow(run, "term string, df long, cf long, whole boolean")
+    every = told.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.bool_or("whole").alias("whole"))
+    # rows that share a doc_id are one document
+    return every if not repeats(docs) else every.drop("df").join(vocabulary(counted(docs, stemmed)).select("term", "df"), "term").select("term", "df", "cf", "whole")
+
+
+def repeats(docs: DataFrame) -> bool:
+    """Whether a doc_id stands in more than one row."""
+    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 def indexed(docs: DataFrame, stemmed: bool = True) -> DataFrame:
-    """Postings of documents. Words are gathered by document; only these shorter rows meet their stems, and terms of several words are joined."""
-    own = postings(occurrences(by_document(docs), False))
-    if not stemmed:
-        return own
-    stems = own.select(F.col("term").alias("part")).distinct().select("part", stem_udf("part").alias("stem"))
-    named = own.withColumnRenamed("term", "part").join(stems, "part")
-    return merged(named.select(F.col("stem").alias("term"), "doc_id", "positions"))
+    """Postings of documents, each document's in one task. Rows that share a doc_id are one document, whose positions are joined."""
+    own = gathered(by_document(docs), stemmed)
+    return merged(own) if repeats(docs) else own
+
+
+def counted(docs: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(term, doc_id, tf): postings without positions."""
+    own = gathered(by_document(docs), stemmed, False)
+    return own.groupBy("term", "doc_id").agg(F.sum("tf").cast("int").alias("tf")) if repeats(docs) else own
 
 
 def vocabulary(of: DataFrame) -> DataFrame:
@@ -78,20 +203,76 @@ def vocabulary_words(docs: DataFrame, stemmed: bool = True) -> DataFrame:
 
 
 def gram_index(words: DataFrame) -> DataFrame:
-    """(gram, word, term, size): the words of each k-gram, and how many distinct k-grams a word has."""
-    own = words.withColumn("grams", kgrams(F.col("word")))
-    return own.select(F.explode("grams").alias("gram"), "word", "term", F.size("grams").alias("size"))
+    """(gram, word, term, size): the words of each k-gram, and how many distinct k-grams a word has; by gram and word, TASK_WORDS words of a task at a time."""
+
+    def told(rows):
+        rows.sort()
+        grams = [grams_of(w) for w, _ in rows]
+        size = np.fromiter(map(len, grams), np.int32, len(grams))
+        names = sorted(set().union(*grams))
+        rank = {g: n for n, g in enumerate(names)}
+        gram = np.fromiter(map(rank.__getitem__, chain.from_iterable(grams)), np.int64, int(size.sum()))
+        key = gram * len(rows) + np.repeat(np.arange(len(rows)), size)
+        key.sort()
+        name, word, term = pa.array(names, pa.string()), pa.array([w for w, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.string())
+        for n in range(0, len(key), 1 << 16):
+            at, own = np.divmod(key[n : n + (1 << 16)], len(rows))
+            yield pa.RecordBatch.from_arrays([name.take(pa.array(at)), word.take(pa.array(own)), term.take(pa.array(own)), pa.array(size[own])], ["gram", "word", "term", "size"])
+
+    def run(batches):
+        rows = []
+        for batch in batches:
+            rows += zip(batch.column("word").to_pylist(), batch.column("term").to_pylist(), strict=True)
+            if len(rows) >= TASK_WORDS:
+                yield from told(rows)
+                rows = []
+        if rows:
+            yield from told(rows)
+
+    return words.select("word", "term").mapInArrow(run, "gram string, word string, term string, size int")
 
 
 def merged(*parts: DataFrame) -> DataFrame:
     """Postings of blocks of documents as one: positions of a term in a document that stand in several blocks are joined."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = reduce(DataFrame.unionByName, parts)
     own = every.groupBy("term", "doc_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     return own.select("term", "doc_id", F.size("positions").alias("tf"), "positions")
 
 
+def indexed_blocks(*blocks: DataFrame, stemmed: bool = True) -> DataFrame:
+    """Postings of blocks of documents, indexed one by one, as one: only those of documents that stand in several blocks move, to be merged."""
+    parts = [indexed(b, stemmed) for b in blocks]
+    ids = reduce(DataFrame.unionByName, (b.select("doc_id").distinct() for b in blocks))
+    several = ids.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if several.isEmpty():
+        return reduce(DataFrame.unionByName, parts)
+    alone = (p.join(several, "doc_id", "left_anti").select(*p.columns) for p in parts)
+    return reduce(DataFrame.unionByName, [*alone, merged(*(p.join(several, "doc_id", "left_semi").select(*p.columns) for p in parts))])
+
+
+def partitions_for(docs: DataFrame) -> int:
+    """How many tasks the occurrences of documents ask for, by the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
+
+
+def gaps(of: DataFrame, tasks: int) -> DataFrame:
+    """(term, doc_id, gap): each document's distance from the one before it in the term's postings, the first's from 0, by a given number of tasks."""
+    before = F.lag("doc_id", 1, 0).over(Window.partitionBy("term").orderBy("doc_id"))
+    return of.select("term", "doc_id").repartition(tasks, "term").select("term", "doc_id", (F.col("doc_id") - before).alias("gap"))
+
+
+def saved(table: DataFrame, path: str, *by: str) -> DataFrame:
+    """The table as it is read back, its files sorted by some columns. Tasks write what they made, so no rows move."""
+    (table.sortWithinPartitions(*by) if by else table).write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.parquet(path)
+
+
+def dealt(words: DataFrame) -> DataFrame:
+    """Words in as many tasks as their number asks for."""
+    return words.repartition(max(1, math.ceil(words.count() / TASK_WORDS)), "word")
+
+
 @dataclass
 class Index:
     """Tables of one corpus. Documents with a null or blank text are counted, and found by nothing."""
@@ -124,21 +305,14 @@ class Index:
         return self.saved_grams if self.saved_grams is not None else gram_index(self.words)
 
     def write(self, path: str) -> Index:
-        """Postings by ranges of terms and k-grams by ranges of grams, sorted, so that row groups can be found by their bounds; returns the index read back."""
+        """All tables, sorted within their files, so that pages can be found by their bounds; returns the index read back."""
         spark = self.postings.sparkSession
-        # ranges are found by a look at all rows, which are better read than made twice
-        self.postings.write.mode("overwrite").parquet(f"{path}/unsorted")
-        kept = spark.read.parquet(f"{path}/unsorted").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        kept.write.mode("overwrite").parquet(f"{path}/postings")
-        unsorted = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/unsorted")
-        unsorted.getFileSystem(spark._jsc.hadoopConfiguration()).delete(unsorted, True)
-        of = spark.read.parquet(f"{path}/postings")
-        vocabulary(of.select("term", "tf")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
-        document_weights(of.select("doc_id", "tf")).write.mode("overwrite").parquet(f"{path}/weights")
-        self.words.write.mode("overwrite").parquet(f"{path}/words")
-        grams = gram_index(spark.read.parquet(f"{path}/words"))
-        grams.repartitionByRange("gram", "word").sortWithinPartitions("gram", "word").write.mode("overwrite").parquet(f"{path}/kgrams")
-        spark.range(1).select(F.lit(self.size).cast("long").alias("size"), F.lit(self.stemmed).alias("stemmed")).write.mode("overwrite").parquet(f"{path}/facts")
+        of = saved(self.postings, f"{path}/postings", "term", "doc_id")
+        saved(vocabulary(of.select("term", "tf")), f"{path}/vocabulary", "term")
+        saved(document_weights(of.select("doc_id", "tf")), f"{path}/weights")
+        words = saved(self.words, f"{path}/words")
+        saved(gram_index(dealt(words)), f"{path}/kgrams")
+        saved(spark.range(1).select(F.lit(self.size).cast("long").alias("size"), F.lit(self.stemmed).alias("stemmed")), f"{path}/facts")
         return Index.read(spark, path)
 
     @staticmethod
@@ -146,3 +320,46 @@ class Index:
         facts = spark.read.parquet(f"{path}/facts").first()
         of, words, vocab, weights, grams = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "words", "vocabulary", "weights", "kgrams"))
         return Index(of, words, facts["size"], facts["stemmed"], vocab, weights, grams)
+
+
+class Kept(Index):
+    """The index of a table of documents, in a folder. Each of its tables is made from all texts and written when it is first asked for."""
+
+    def __init__(self, docs: DataFrame, path: str, stemmed: bool = True):
+        self.docs, self.path, self.stemmed = docs.select("doc_id", "text"), path, stemmed
+
+    @cached_property
+    def size(self) -> int:
+        return self.docs.count()
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return saved(indexed(self.docs, self.stemmed), f"{self.path}/postings", "term", "doc_id")
+
+    def counted(self) -> DataFrame:
+        """(term, doc_id, tf), from the postings if they are there by now, else without their positions."""
+        return self.postings.select("term", "doc_id", "tf") if "postings" in vars(self) else counted(self.docs, self.stemmed)
+
+    @cached_property
+    def lexicon(self) -> DataFrame:
+        return saved(lexicon(self.docs, self.stemmed), f"{self.path}/lexicon", "term")
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        if "postings" in vars(self) and "lexicon" not in vars(self):
+            return saved(vocabulary(self.postings.select("term", "tf")), f"{self.path}/vocabulary", "term")
+        return self.lexicon.select("term", "df", "cf")
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return saved(document_weights(self.counted().select("doc_id", "tf")), f"{self.path}/weights")
+
+    @cached_property
+    def words(self) -> DataFrame:
+        if not self.stemmed:
+            return self.lexicon.where("whole").select(F.col("term").alias("word"), "term")
+        return saved(vocabulary_words(self.docs, self.stemmed), f"{self.path}/words")
+
+    @cached_property
+    def kgrams(self) -> DataFrame:
+        return saved(gram_index(dealt(self.words)), f"{self.path}/kgrams")

@@ -8,19 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.porter2 import stem_udf
-from textloom.functions.text import GRAM, clean
+from textloom.functions.text import clean, grams_of
 from textloom.operators.index import Index
 from textloom.plans.parser import clean_word
 
 OVERLAP = 0.35
 
 
-def grams_of(word: str, k: int = GRAM) -> set[str]:
-    """As functions.text.kgrams, for one word of a query."""
-    padded = f"${word}$"
-    return {padded[i : i + n] for n in range(1, k + 1) for i in range(len(padded) - n + 1)}
-
-
 def close_words(index: Index, words: list[str], overlap: float = OVERLAP) -> DataFrame:
     """(asked, word, overlap): vocabulary words whose k-grams overlap by more than `overlap` with those of an asked word.
 
