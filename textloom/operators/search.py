@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.index import Index
@@ -81,14 +81,21 @@ def expansions(index: Index, patterns: Iterable[str], exact: bool = False) -> Ex
 
 
 def phrase(index: Index, words: list[str]) -> DataFrame:
-    """(doc_id) of the documents that have the words in consecutive places; one word is just a term, none matches nothing."""
-    found = postings_of(index, words, len(words) > 1)
+    """(doc_id) of the documents that have the words in consecutive places; one word is just a term, none matches nothing.
+
+    Postings of its terms are joined by document, and arrays of places compared: occurrences are never rows.
+    """
     if len(words) < 2:
-        return found.select("doc_id")
-    places = F.coalesce(*(F.when(F.col("term") == t, F.array(*(F.lit(i) for i, w in enumerate(words) if w == t))) for t in sorted(set(words))))
-    begun = found.select("doc_id", F.explode("positions").alias("pos"), places.alias("places")).select("doc_id", F.explode("places").alias("i"), "pos")
-    starts = begun.groupBy("doc_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("n"))
-    return starts.where(F.col("n") == len(words)).select("doc_id").distinct()
+        return postings_of(index, words).select("doc_id")
+    # one scan for each distinct word
+    own = {w: f"p{n}" for n, w in enumerate(dict.fromkeys(words))}
+    tables = [index.postings.where(F.col("term") == w).select("doc_id", F.col("positions").alias(p)) for w, p in own.items()]
+
+    def starts(i: int) -> Column:
+        return F.transform(own[words[i]], lambda x: x - F.lit(i))
+
+    common = reduce(F.array_intersect, map(starts, range(len(words))))
+    return reduce(lambda a, b: a.join(b, "doc_id"), tables).where(F.size(common) > 0).select("doc_id")
 
 
 def _literal(index: Index, wanted: list[Operand], known: Expansions) -> DataFrame | None:
@@ -97,7 +104,7 @@ def _literal(index: Index, wanted: list[Operand], known: Expansions) -> DataFram
     sets = [phrase(index, list(o.words)) for o in wanted if len(o.words) != 1 and not o.patterns]
     if alone:
         # all single terms in one pass over the postings
-        found = postings_of(index, alone).groupBy("doc_id").agg(F.count_distinct("term").alias("n"))
+        found = postings_of(index, alone).groupBy("doc_id").agg(F.count("*").alias("n"))
         sets.append(found.where(F.col("n") == len(alone)).select("doc_id"))
     for p in (p for o in wanted for p in o.patterns):
         if p in known.many:
