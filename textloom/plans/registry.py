@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import GRAM, clean, hyphen_parts, kgrams, tokens
 from textloom.operators import search, spelling
-from textloom.operators.index import by_document, frequencies, indexed, merged, occurrences
+from textloom.operators.index import by_document, frequencies, gaps, indexed, indexed_blocks, occurrences, partitions_for
 from textloom.plans.storage import index_of, scratch
 from textloom.sources import ingest
 
@@ -135,10 +135,8 @@ def _positions(spark, sf_dir):
 
 @register("postings_gaps", sql("SELECT term, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS gap FROM post"))
 def _gaps(spark, sf_dir):
-    from pyspark.sql import Window
-
-    before = F.lag("doc_id", 1, 0).over(Window.partitionBy("term").orderBy("doc_id"))
-    return index_of(spark, sf_dir).postings.select("term", "doc_id", (F.col("doc_id") - before).alias("gap"))
+    docs = documents(spark, sf_dir)
+    return gaps(index_of(spark, sf_dir).counted(), partitions_for(docs))
 
 
 @register("vocab_df", sql("SELECT term, df, cf::BIGINT AS cf FROM vocab"))
@@ -299,7 +297,7 @@ def _merge(spark, sf_dir):
     """Two blocks of documents, indexed one by one, as one index over all of them."""
     docs = documents(spark, sf_dir)
     even = F.pmod("doc_id", F.lit(2)) == 0
-    of = merged(*(indexed(docs.where(part), False) for part in (even, ~even)))
+    of = indexed_blocks(docs.where(even), docs.where(~even), stemmed=False)
     return of.select("term", "doc_id", "tf", F.element_at("positions", 1).alias("first_pos"), F.element_at("positions", -1).alias("last_pos"))
 
 
