@@ -237,3 +237,21 @@ def test_features_and_lookup():
     at, place = find(h)
     assert at.tolist() == [1] and place.tolist() == [0]
     assert toxicity.Lookup(np.zeros(0, np.uint64))(h)[0].tolist() == []
+
+
+@pytest.mark.parametrize("size", [1.0, 400.0])
+def test_tokens_sorted_by_class_score_as_each_alone(size):
+    """Also with logits whose exponentials are no numbers of 32 bits."""
+    rng = np.random.default_rng(5)
+    net = pseudolikelihood.Window(pseudolikelihood.Window().params * size)
+    context = rng.integers(0, pseudolikelihood.IDS + 1, (2 * pseudolikelihood.SIDE, 300))
+    target = rng.integers(0, pseudolikelihood.IDS, 300).astype(np.int32)
+    got = net.log_probabilities(context, target)
+    alone = [net.log_probabilities(context[:, [n]], target[[n]])[0] for n in range(300)]
+    h = net.hidden(context)
+    upper = (h @ net.upper + net.upper_bias).astype(float)
+    lower = (np.einsum("nh,nhm->nm", h, net.lower[target // pseudolikelihood.MEMBERS]) + net.lower_bias[target // pseudolikelihood.MEMBERS]).astype(float)
+    row = np.arange(300)
+    want = sum(g[row, k] - g.max(axis=1) - np.log(np.exp(g - g.max(axis=1)[:, None]).sum(axis=1)) for g, k in ((upper, target // pseudolikelihood.MEMBERS), (lower, target % pseudolikelihood.MEMBERS)))
+    assert np.isfinite(got).all() and (net.bounds()[0] > pseudolikelihood.TAME) == (size > 1)
+    assert got == pytest.approx(want, rel=1e-4, abs=1e-4) and alone == pytest.approx(got, rel=1e-4, abs=1e-4)

@@ -25,7 +25,7 @@ IDS = CLASSES * MEMBERS
 #: Words whose counts every task has; all others of an id share what is left of it evenly.
 LISTED = 1 << 16
 #: Tokens on either side, hidden units, tokens a step, and the step of Adam; tokens scored at once.
-SIDE, HIDDEN, STEP, RATE, SCORED = 2, 16, 8192, 0.01, 1 << 15
+SIDE, HIDDEN, STEP, RATE, SCORED = 2, 16, 8192, 0.01, 1 << 13
 #: Rounds in which all workers train and are averaged, and characters of text, over all rounds, that one worker learns from.
 ROUNDS, WORKER = 3, 128 << 20
 #: Id of the places beyond a text's ends.
@@ -78,20 +78,18 @@ class Vocabulary:
         return own, np.where(known, self.share[at], self.rest[own])
 
 
-def _softmax(g: np.ndarray) -> np.ndarray:
-    """In place, by row."""
-    g -= g.max(axis=1)[:, None]
-    np.exp(g, out=g)
-    g /= g.sum(axis=1)[:, None]
-    return g
+#: A bound of logits below which their exponentials and 64 of these together are ordinary numbers of 32 bits.
+TAME = 80.0
+_ONES = np.ones(max(CLASSES, MEMBERS), np.float32)
 
 
-def _log_of(g: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Log of each row's softmax at one place; the array is used up."""
-    g -= g.max(axis=1)[:, None]
+def _exponentials(g: np.ndarray, own: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's logit at one place and the sum of its exponentials, which the array then holds; large logits are first taken relative to their row's largest."""
+    if not bound < TAME:
+        g -= g.max(axis=1)[:, None]
     at = g[np.arange(len(own)), own]
     np.exp(g, out=g)
-    return at - np.log(g.sum(axis=1))
+    return at, g @ _ONES[: g.shape[1]]
 
 
 class Window:
@@ -123,45 +121,72 @@ class Window:
             h += self.tables[k][context[k]]
         return np.tanh(h)
 
+    def bounds(self) -> tuple[float, float]:
+        """What no logit of a class, or of a word within one, exceeds, as hidden units lie between -1 and 1."""
+        upper = np.abs(self.upper).sum(axis=0) + np.abs(self.upper_bias)
+        return float(upper.max()), float((np.abs(self.lower).sum(axis=1) + np.abs(self.lower_bias)).max())
+
     @staticmethod
-    def by_class(target: np.ndarray):
-        """(class, where its tokens are) for each class that occurs."""
-        own = (target // MEMBERS).astype(np.uint8)
-        order = np.argsort(own, kind="stable")
-        ends = np.cumsum(np.bincount(own, minlength=CLASSES))
-        for c in np.flatnonzero(np.diff(ends, prepend=0)):
-            yield int(c), order[(ends[c - 1] if c else 0) : ends[c]]
+    def by_class(own: np.ndarray) -> list[tuple[int, int, int]]:
+        """(class, start, end) of each class that occurs among sorted ones."""
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        return list(zip(own[first].tolist(), first.tolist(), [*first[1:].tolist(), len(own)], strict=True))
+
+    def members(self, h: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits of the words of each token's class, for tokens sorted by class."""
+        g = np.empty((len(h), MEMBERS), np.float32)
+        for c, a, b in parts:
+            np.matmul(h[a:b], self.lower[c], out=g[a:b])
+            g[a:b] += self.lower_bias[c]
+        return g
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
-        out = _log_of(h @ self.upper + self.upper_bias, target // MEMBERS)
-        for c, at in self.by_class(target):
-            out[at] += _log_of(h[at] @ self.lower[c] + self.lower_bias[c], target[at] % MEMBERS)
+        if not len(target):
+            return np.zeros(0, np.float32)
+        # tokens of a class side by side
+        order = np.argsort(target.astype(np.uint16), kind="stable")
+        target, h, bound = target[order], self.hidden(context[:, order]), self.bounds()
+        own = target // MEMBERS
+        at, total = _exponentials(h @ self.upper + self.upper_bias, own, bound[0])
+        found = at - np.log(total)
+        at, total = _exponentials(self.members(h, self.by_class(own)), target % MEMBERS, bound[1])
+        found += at - np.log(total)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        n, own = len(target), target // MEMBERS
+        n = len(target)
+        # the sum over tokens has no order: tokens of a class side by side
+        order = np.argsort(target.astype(np.uint16), kind="stable")
+        target, context, bound = target[order], context[:, order], self.bounds()
+        own, row = target // MEMBERS, np.arange(n)
         h = self.hidden(context)
         d = Window(np.zeros_like(self.params))
-        g = _softmax(h @ self.upper + self.upper_bias)
-        g[np.arange(n), own] -= 1
-        g /= n
-        d.upper[:], d.upper_bias[:] = h.T @ g, g.sum(axis=0)
+        g = h @ self.upper
+        g += self.upper_bias
+        g /= _exponentials(g, own, bound[0])[1][:, None]
+        g[row, own] -= 1
+        d.upper[:], d.upper_bias[:] = h.T @ g, np.ones(n, np.float32) @ g
         dh = g @ self.upper.T
-        for c, at in self.by_class(target):
-            g = _softmax(h[at] @ self.lower[c] + self.lower_bias[c])
-            g[np.arange(len(at)), target[at] % MEMBERS] -= 1
-            g /= n
-            d.lower[c], d.lower_bias[c] = h[at].T @ g, g.sum(axis=0)
-            dh[at] += g @ self.lower[c].T
-        dh *= 1 - h * h
-        d.shift[:] = dh.sum(axis=0)
+        parts = self.by_class(own)
+        g = self.members(h, parts)
+        g /= _exponentials(g, target % MEMBERS, bound[1])[1][:, None]
+        g[row, target % MEMBERS] -= 1
+        for c, a, b in parts:
+            d.lower[c] = h[a:b].T @ g[a:b]
+            dh[a:b] += g[a:b] @ self.lower[c].T
+        d.lower_bias[[c for c, _, _ in parts]] = np.add.reduceat(g, [a for _, a, _ in parts], axis=0)
+        h *= h
+        dh -= dh * h
+        d.shift[:] = np.ones(n, np.float32) @ dh
         for k in range(2 * SIDE):
             # sorted as numbers of 16 bits, by their digits
             order = np.argsort(context[k].astype(np.uint16), kind="stable")
             ids = context[k][order]
             first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
             d.tables[k][ids[first]] = np.add.reduceat(dh[order], first, axis=0)
+        d.params /= n
         return d.params
 
 
